@@ -27,6 +27,8 @@ QUERY_BLOCK = 1024
 #: Candidates in the first step of an evaluation.
 _FIRST = 64
 _EXACT = 2**53
+#: Queries whose bounds are computed together.
+_TILE = 8
 
 
 def _floored(vectors: np.ndarray) -> np.ndarray:
@@ -40,8 +42,7 @@ def _whole(x: np.ndarray) -> np.ndarray:
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of rows of whole numbers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
-    if most < _EXACT:
+    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < _EXACT:
         return (a @ b.T).astype(np.int64)
     to_int = np.vectorize(int, otypes=[object])
     return _whole(to_int(a).dot(to_int(b).T))
@@ -62,7 +63,7 @@ class PivotTable:
                 break
             picked.append(int(np.argmax(far)))
         self.pivots = self.vectors[picked]
-        self.table = np.stack([self._far(p[None])[0] for p in self.pivots]) if picked else np.zeros((0, len(ids)))
+        self.table = self._far(self.pivots).astype(np.float32) if picked else np.zeros((0, len(ids)), np.float32)
 
     def _far(self, x: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + self.norms - 2 * x @ self.vectors.T))
@@ -70,43 +71,59 @@ class PivotTable:
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bounds on the inner products, one row per query, a little above for rounding."""
         norms = (queries**2).sum(1)
-        pivot_norms = (self.pivots**2).sum(1)
-        far = np.sqrt(np.maximum(0, norms[:, None] + pivot_norms - 2 * queries @ self.pivots.T))
-        least = np.zeros((len(queries), len(self.ids)))
-        for p in range(len(self.pivots)):
-            np.maximum(least, np.abs(far[:, p : p + 1] - self.table[p]), out=least)
+        far = np.sqrt(np.maximum(0, norms[:, None] + (self.pivots**2).sum(1) - 2 * queries @ self.pivots.T)).astype(np.float32)
+        least = np.zeros((len(queries), len(self.ids)), np.float32)
+        for a in range(0, len(queries), _TILE):  # tiles stay in the processor's cache
+            tile = least[a : a + _TILE]
+            for p in range(len(self.pivots)):
+                diff = self.table[p] - far[a : a + _TILE, p : p + 1]
+                np.maximum(tile, np.abs(diff, out=diff), out=tile)
         scale = norms[:, None] + self.norms
-        slack = 1e-7 * np.sqrt(scale) + 1e-9
+        slack = 4e-6 * np.sqrt(scale)  # single precision: three roundings of 6e-8 each, at distances up to twice this root
         return (scale - np.maximum(0, least - slack) ** 2) / 2 + 1e-9 * scale + 1e-6
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int = K):
         """(query, candidate, score) of the best k for each query, without itself."""
+        n = len(self.ids)
         for a in range(0, len(ids), 128):
-            bounds = self.bounds(queries[a : a + 128])
-            for i, q, bound in zip(ids[a : a + 128], queries[a : a + 128], bounds, strict=True):
-                yield from ((int(i), *x) for x in self._one(i, q, bound, k))
-
-    def _one(self, own: int, q: np.ndarray, bound: np.ndarray, k: int):
-        found_ids, found, floor, step = np.zeros(0, np.int64), np.zeros(0, np.int64), None, _FIRST
-        left = np.arange(len(self.ids))
-        while len(left):
-            if len(left) > step:  # the next in bound order
-                part = np.argpartition(-bound[left], step - 1)
-                now, left = left[part[:step]], left[part[step:]]
-            else:
-                now, left = left, left[:0]
-            now = now[self.ids[now] != own]
-            scores = dots(q[None], self.vectors[now])[0] if len(now) else np.zeros(0, np.int64)
-            found_ids, found = np.concatenate([found_ids, self.ids[now]]), np.concatenate([found, scores])
-            if len(found) > k:
-                best = np.lexsort((found_ids, -found))[:k]
-                found_ids, found = found_ids[best], found[best]
-            if len(found) == k:
-                floor = found.min()
-                left = left[bound[left] >= floor]
-            step *= 8
-        best = np.lexsort((found_ids, -found))[:k]
-        return zip(found_ids[best].tolist(), found[best].tolist(), strict=True)
+            own, q = ids[a : a + 128], queries[a : a + 128]
+            bounds = self.bounds(q)
+            bounds[own[:, None] == self.ids] = -np.inf  # never the query itself
+            first = np.argpartition(-bounds, _FIRST - 1, axis=1)[:, :_FIRST] if n > _FIRST else np.tile(np.arange(n), (len(own), 1))
+            best = [self._best(f[b[f] > -np.inf], x, k) for f, b, x in zip(first, bounds, q, strict=True)]
+            floors = np.array([s.min() if len(s) == k else -(2**62) for _, s in best])
+            np.put_along_axis(bounds, first, -np.inf, 1)
+            left = (bounds >= floors[:, None]) & (bounds > -np.inf)
+            # Where much of the block is left, the step is one product of all queries with all candidates.
+            dense = dots(q, self.vectors) if left.sum() > left.size / 8 else None
+            for i in range(len(own)):
+                found_ids, found = best[i]
+                if dense is not None:
+                    at = np.flatnonzero(left[i] & (dense[i] >= floors[i]))
+                    found_ids, found = self._top(np.concatenate([found_ids, self.ids[at]]), np.concatenate([found, dense[i][at]]), k)
+                else:
+                    at = np.flatnonzero(left[i])
+                    at = at[np.argsort(-bounds[i][at])]
+                    step = _FIRST
+                    while len(at):
+                        now, at = at[:step], at[step:]
+                        more_ids, more = self._best(now, q[i], k)
+                        found_ids, found = self._top(np.concatenate([found_ids, more_ids]), np.concatenate([found, more]), k)
+                        if len(found) == k:
+                            at = at[: np.searchsorted(-bounds[i][at], -found.min(), "right")]
+                        step *= 4
+                yield from ((int(own[i]), *x) for x in zip(found_ids.tolist(), found.tolist(), strict=True))
+
+    def _best(self, at: np.ndarray, q: np.ndarray, k: int):
+        return self._top(self.ids[at], dots(q[None], self.vectors[at])[0], k)
+
+    @staticmethod
+    def _top(ids: np.ndarray, scores: np.ndarray, k: int):
+        if len(ids) > 4 * k:  # all that reach the k-th best, ties included
+            keep = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            ids, scores = ids[keep], scores[keep]
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best]
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
