@@ -21,7 +21,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Units that a worker remembers before it starts over; as many of before are kept.
-CACHE = 400_000
+CACHE = 900_000
 #: Longer units are encoded each time.
 LONGEST = 64
 #: Units that are encoded in one go.
