@@ -29,6 +29,8 @@ from quernel.llm.common import shared_path, stored
 MIN_REVISIT = 1000
 #: Records of an archive file at most.
 FILE_RECORDS = 20_000
+#: Payload bytes of an archive file, about.
+FILE_BYTES = 32 << 20
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RUN_SCHEMA = "run long, url_key string, captured_at string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -63,9 +65,10 @@ def record(page: dict[str, Column]) -> Column:
     )
 
 
-def write_archives(roles: DataFrame, path: str) -> None:
-    """Writes a record per row of ``with_roles`` below ``path``."""
-    text = roles.select(record({c: F.col(c) for c in roles.columns}).alias("value"))
+def write_archives(roles: DataFrame, path: str, payload_bytes: int) -> None:
+    """Writes a record per row of ``with_roles`` below ``path``, in files of about FILE_BYTES of payload, or so many that all cores write."""
+    files = max(-(-payload_bytes // FILE_BYTES), 2 * roles.sparkSession.sparkContext.defaultParallelism)
+    text = roles.select(record({c: F.col(c) for c in roles.columns}).alias("value")).coalesce(files)
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -241,7 +244,8 @@ def archive_and_index(pages: DataFrame, captured_at: Column, id: str = "page_id"
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_archives(with_roles(pages, id, url, body, captured_at, min_revisit), path)
+    payload_bytes = pages.agg(F.sum(F.octet_length(F.col(body).cast("string")))).first()[0] or 0
+    write_archives(with_roles(pages, id, url, body, captured_at, min_revisit), path, payload_bytes)
     return merge_runs(stored(read_runs(spark, path), "runs")).drop("run", "url")
 
 
