@@ -20,7 +20,7 @@ import numpy as np
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Units that a worker remembers before it starts over; as many of before are kept.
+#: Units that a worker remembers before it starts over.
 CACHE = 900_000
 #: Longer units are encoded each time.
 LONGEST = 64
@@ -67,7 +67,6 @@ class Encoder:
                     self.n_bytes[i] = len(piece)  # a byte-level piece has a character per byte
         self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
-        self.old: dict = {}
 
     def _encode_units(self, units: list[str]) -> tuple[bytes, list[int]]:
         """Ids of all units, and where each one ends. Joined units are told apart by the bytes of their pieces."""
@@ -101,15 +100,9 @@ class Encoder:
                 seen.update(u)
         missing = seen.difference(cache)
         if len(cache) + len(missing) > CACHE or not cache:
-            # The units of the last round stay at hand: what is still in use comes back from them.
-            self.old = dict(cache)
             cache.clear()
             cache.update(first)
             missing = seen.difference(cache)
-        if missing and self.old:
-            known = [x for x in missing if x in self.old]
-            cache.update(zip(known, map(self.old.__getitem__, known), strict=True))
-            missing.difference_update(known)
         if missing:
             # A comma or full stop after a letter is a piece of its own, so the rest may be known.
             marked = {u for u in missing if u[-1] in ",." and u[-2:-1].isascii() and u[-2:-1].isalpha()}
