@@ -53,9 +53,9 @@ def salted_digest(prefix: str, salt: str, *parts: Column) -> Column:
 
 def cut_bytes(c: Column, longest: int = MAX_STRING) -> Column:
     """At most ``longest`` bytes; a character that would be split goes whole."""
-    kept = F.substring(F.encode(c, "UTF-8"), 1, longest)
-    # A cut character decodes to replacement characters at the end.
-    return F.when(F.octet_length(c) <= longest, c).otherwise(F.regexp_replace(F.decode(kept, "UTF-8"), "\ufffd+\\z", ""))
+    kept = F.make_valid_utf8(F.substring(F.encode(c, "UTF-8"), 1, longest).cast("string"))
+    # A cut character becomes replacement characters at the end.
+    return F.when(F.octet_length(c) <= longest, c).otherwise(F.regexp_replace(kept, "\ufffd+\\z", ""))
 
 
 def bucket_start(time: Column, seconds: int) -> Column:
