@@ -399,7 +399,7 @@ WITH l AS (
 ), c AS (
   SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= {MIN_CHARS} AND doc_id IS NOT NULL GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}
 ), m AS (
-  SELECT k.*, c.last IS NOT NULL AND c.last <> k.doc_id AS gone FROM k LEFT JOIN c ON k.key = c.key
+  SELECT k.*, coalesce(c.last <> k.doc_id, false) AS gone FROM k LEFT JOIN c ON k.key = c.key
 )
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
