@@ -24,18 +24,20 @@ from quernel.sources.store import EventStore
 
 def decode(batch: DataFrame) -> DataFrame:
     """Messages to envelopes; ``decode_error`` says why one is none."""
-    v = F.try_parse_json(F.col("value"))
+    # A column of its own, which the many fields below read: the text is parsed once.
+    batch = batch.withColumn("_v", F.try_parse_json(F.col("value")))
+    v = F.col("_v")
     text = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
     ms = lambda name: F.date_trunc("MILLISECOND", utc(F.try_to_timestamp(F.try_variant_get(v, f"$.{name}", "string"))).cast("timestamp_ntz")).cast("timestamp_ntz")
-    bag = lambda name: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("{}"))
+    bag = lambda name: F.coalesce(F.nullif(F.to_json(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("null")), F.lit("{}"))
     out = {}
     for c in EVENT_COLUMNS:
         name = "id" if c == "event_id" else c
-        out[c] = ms(name) if c in ("event_time", "received_at") else F.when(bag(name) == "null", "{}").otherwise(bag(name)) if c in ("properties", "user_properties") else text(name)
+        out[c] = ms(name) if c in ("event_time", "received_at") else bag(name) if c in ("properties", "user_properties") else text(name)
     df = batch.withColumns(out)
     bad = F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True))
     ids = [F.when(F.col(c) == "", F.lit(f"{c} is required")) for c in ("tenant_id", "project_id", "source_id", "event_id")]
-    return df.withColumn("decode_error", F.coalesce(F.when(bad, F.lit("malformed payload")), *ids, unflattenable(df)))
+    return df.withColumn("decode_error", F.coalesce(F.when(bad, F.lit("malformed payload")), *ids, unflattenable(df))).drop("_v")
 
 
 def first_of_each(envelopes: DataFrame) -> DataFrame:
