@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.operators.normalize import utc
@@ -22,6 +22,17 @@ from quernel.schema import DEAD_LETTERS, EVENT_COLUMNS, EVENT_KEY, route
 from quernel.sources.store import EventStore
 
 
+def _computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with further columns, which filters above read and don't compute again.
+
+    A filter on a projected column is pushed below the projection with the
+    column's whole expression in it, every use of a parsed payload included;
+    it stays above a generator.
+    """
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(n) for n, v in columns.items())))))
+
+
 def decode(batch: DataFrame) -> DataFrame:
     """Messages to envelopes; ``decode_error`` says why one is none."""
     # A column of its own, which the many fields below read: the text is parsed once.
@@ -34,10 +45,10 @@ def decode(batch: DataFrame) -> DataFrame:
     for c in EVENT_COLUMNS:
         name = "id" if c == "event_id" else c
         out[c] = ms(name) if c in ("event_time", "received_at") else bag(name) if c in ("properties", "user_properties") else text(name)
-    df = batch.withColumns(out)
-    bad = F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True))
+    out["_bad"] = F.coalesce(~F.schema_of_variant(v).startswith("OBJECT"), F.lit(True))
+    df = _computed(batch, out).drop("_v")
     ids = [F.when(F.col(c) == "", F.lit(f"{c} is required")) for c in ("tenant_id", "project_id", "source_id", "event_id")]
-    return df.withColumn("decode_error", F.coalesce(F.when(bad, F.lit("malformed payload")), *ids, unflattenable(df))).drop("_v")
+    return _computed(df, {"decode_error": F.coalesce(F.when(F.col("_bad"), F.lit("malformed payload")), *ids, unflattenable(df))}).drop("_bad")
 
 
 def first_of_each(envelopes: DataFrame) -> DataFrame:
