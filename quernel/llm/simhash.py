@@ -40,23 +40,30 @@ _SMALL = 48
 _FOREST = 1 << 18
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """64-bit SimHash of the lower-cased (A-Z) text's word shingles; 0 without words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; the whole sequence is one where words are few."""
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], "<u8")
     joined, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - shingle + 1].tolist()
     parts = map(joined.__getitem__, map(slice, starts, (ends[shingle - 1 :] - 1).tolist()))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", len(starts))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """64-bit SimHash of the lower-cased (A-Z) text's word shingles; 0 without words."""
+    words = (text or b"").lower().split()
+    return majority(shingle_hashes(words, shingle)) if words else 0
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
@@ -222,16 +229,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     # Only linked fingerprints have another's root.
     linked = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
     return own.join(linked, own.fp == linked.of).select("id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one for each component.
-
-    Rows that share an id are copies of one document, of which one stays. Rows
-    with a null id stay only where no other row of their group has an id.
-    """
-    found = near_duplicates(docs, id, text, shingle, max_bits)
-    stay = found.where("id <=> component_id").select(F.col("id").alias("stay_id"), F.coalesce("id", "fp").alias("one")).distinct()
-    row = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("row_id"))
-    with_id = row.join(stay.where("stay_id IS NOT NULL"), row.row_id == F.col("stay_id"), "left_semi").dropDuplicates(["row_id"])
-    return with_id.select("row.*")

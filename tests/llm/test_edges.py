@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.llm import language, line_dedup, mixing, packing, quality, secret_scan, simhash, token_counts, topk, warc_index
+from quernel.llm import language, line_dedup, mixing, packing, quality, secret_scan, simhash, similar, token_counts, topk, warc_index
 
 LONG = "the quick brown fox of the hill and " * 2500
 LINE = "A line that many documents hold, word by word"
@@ -116,7 +116,7 @@ def test_simhash(spark, docs, none):
         want.append((t[0], fps[i], min(ids, default=None)))
     assert sorted(((r.id, r.fp % 2**64, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_first(docs)
+    kept = similar.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 2, 3, 4, 6, 7, 8]
 
 
