@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,23 +15,52 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"\x20\x09-\x0D"
 
 
+#: Called to free what a worker keeps from one task to the next.
+WORKER_CACHES: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Workers are reused: an operator that needs memory of its own frees the caches that another one left."""
+    for free in WORKER_CACHES:
+        free()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session has none (as in tests) a temporary folder is set.
+    Only a session on this machine alone (as in tests) gets a temporary folder
+    where it has none; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='quernel-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quernel-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}/{name}"
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of whatever file system it is on."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that operators left in the shared folder; results that were not written yet are lost with them."""
+    delete(spark, _own_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -39,10 +69,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor later costs a reread of files, not
     a rerun of what came before.
     """
+    return stored_at(df, name)[0]
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The stored table and its path, for a caller that removes it when it is used up."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def let(value: Column, body) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernel.llm.common import SPACE_CHARS, SPACE_CLASS, stored
+from quernel.llm.common import SPACE_CHARS, SPACE_CLASS, release, stored
 
 #: Least code points of a key, and least documents that must hold it.
 MIN_CHARS = 20
@@ -176,6 +176,7 @@ def _counting(min_chars: int, min_docs: int, shards: int):
             probes[first[1]] = n[first[0]]
             yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(probes)], ["shard", "h1", "h2", "doc", "probes"])
 
+        release()
         parts, size = [], 0
         for batch in batches:
             keys, docs = [], []

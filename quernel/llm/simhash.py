@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm.common import stored
+from quernel.llm.common import release, stored
 from quernel.llm.components import components
 
 SEED = 42
@@ -66,6 +66,7 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        release()
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
@@ -106,7 +107,8 @@ class _Forest:
             self.edges.append((a, b))
 
     def rows(self):
-        a, b = (np.array(x, np.uint64).view(np.int64) for x in (zip(*self.edges, strict=True) if self.edges else ([], [])))
+        wrapped = lambda x: [v - (1 << 64) if v >> 63 > 0 else v for v in x]
+        a, b = (np.array(wrapped(x), np.int64) for x in (zip(*self.edges, strict=True) if self.edges else ([], [])))
         self.up, self.edges = {}, []
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -173,21 +175,30 @@ def _linking(max_bits: int, n_pivots: int):
             for g in np.flatnonzero(sizes > _SMALL):
                 link_large(fps[slice(*np.searchsorted(group, [g, g + 1]))], refs, max_bits, forest)
 
-        held = None
+        parts: list = []
+        whole = lambda: [np.concatenate(x) for x in zip(*parts, strict=True)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = [batch.column(x).to_numpy() for x in ("fp", "c", "key")]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            _, c, key = held
-            cut = int(np.flatnonzero((c != c[-1]) | (key != key[-1]))[-1]) + 1 if (c[0], key[0]) != (c[-1], key[-1]) else 0
-            if cut:
-                search(held[0][:cut].view(np.uint64), c[:cut], key[:cut])
-                held = [x[cut:] for x in held]
+            _, c, key = now
+            if parts and (parts[-1][1][-1], parts[-1][2][-1]) != (c[0], key[0]):
+                fps, *of = whole()
+                search(fps.view(np.uint64), *of)
+                parts = []
+            new = np.flatnonzero((c[1:] != c[:-1]) | (key[1:] != key[:-1]))
+            if len(new):  # the last bucket may go on in the next batch
+                cut = int(new[-1]) + 1
+                parts.append([x[:cut] for x in now])
+                fps, *of = whole()
+                search(fps.view(np.uint64), *of)
+                parts, now = [], [x[cut:] for x in now]
+            parts.append(now)
             if len(forest.edges) >= _FOREST:
                 yield forest.rows()
-        if held is not None:
-            search(held[0].view(np.uint64), held[1], held[2])
+        if parts:
+            fps, *of = whole()
+            search(fps.view(np.uint64), *of)
         yield forest.rows()
 
     return run

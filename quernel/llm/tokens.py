@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from quernel.llm.common import WORKER_CACHES
+
 #: The characters with Unicode's White_Space property (fixed values), as a class body.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
@@ -136,3 +138,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One per worker and file; its caches outlive a task."""
     return Encoder(path)
+
+
+WORKER_CACHES.append(encoder.cache_clear)
