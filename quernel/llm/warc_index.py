@@ -5,11 +5,18 @@ in the record separator, so every part file is a (gzipped) WARC file, wherever
 the session's file system is. They are read back as whole files and parsed by
 Content-Length.
 
+Which page is a revisit is found from ids, digests and sizes alone. Payloads
+are shuffled once, by a hash of page and digest, into archives of about
+``FILE_BYTES`` of payload: no digest, URL or id gathers rows there.
+
 Each archive file gives one capture run, sorted by URL key and time. Runs are
-dealt to ranges of the global order; in a range, the runs' segments are merged
-by a loser tree, so histories come out in global order: range by range, and in
-order within each. The range key ends in the page id, so a URL or host with a
-third of all captures spans as many ranges as it needs.
+cut at the bounds of many small ranges of the global order, about
+``RANGE_ROWS`` captures each, by a range key that no two captures share; so a
+URL or host with a third of all captures spans as many ranges as it needs. A
+task takes a range's segments, which arrive run by run in order (sorted on
+disk where they don't fit), and merges them by a loser tree. It holds one range
+as Arrow columns, and no payload. Histories come out in global order: range by
+range, and in order within each.
 """
 
 from __future__ import annotations
@@ -18,6 +25,7 @@ import hashlib
 import zlib
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,22 +37,39 @@ from quernel.llm.common import shared_path, stored
 MIN_REVISIT = 1000
 #: Records of an archive file at most.
 FILE_RECORDS = 20_000
-#: Payload bytes of an archive file, about.
+#: Payload bytes of an archive file, on average.
 FILE_BYTES = 32 << 20
+#: Captures of a range, about.
+RANGE_ROWS = 1 << 17
+#: Places that the pages without an id are dealt to, for each digest.
+_SALTS = 64
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RUN_SCHEMA = "run long, url_key string, captured_at string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RUN_SCHEMA = "run long, at long, url_key string, captured_at string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _ORDER = ["url_key", "captured_at", "page_id"]
+#: No two captures agree in all of these.
+_UNIQUE = [*_ORDER, "run", "at"]
 
 
-def with_roles(pages: DataFrame, id: str, url: str, body: str, captured_at: Column, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, captured_at, payload, digest, size, refers_to (null: a response)."""
+def with_roles(pages: DataFrame, id: str, url: str, body: str, captured_at: Column, files: int, min_revisit: int = MIN_REVISIT) -> DataFrame:
+    """page_id, url, captured_at, payload, digest, size, refers_to (null: a response), dealt to ``files`` partitions."""
     own = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), captured_at.cast("timestamp").alias("captured_at"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("payload"))
     own = own.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    large = own.where(F.col("size") >= min_revisit)
+    large = own.where(F.col("size") >= min_revisit).select("page_id", "digest")
     first = large.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL").drop("n")
-    joined = own.join(first, (own.digest == first.of) & (own["size"] >= min_revisit), "left")
-    return joined.select("page_id", "url", "captured_at", "payload", "digest", "size", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    revisits = large.join(first, large.digest == first.of).where(~F.col("page_id").eqNullSafe(F.col("last")))
+    # Pages without an id may be many and alike.
+    salts = lambda n: F.when(F.col("page_id").isNull(), n).otherwise(F.lit(0))
+    place = F.xxhash64("page_id", "digest", "salt")
+    dealt = revisits.withColumn("salt", F.explode(F.sequence(F.lit(0), salts(F.lit(_SALTS - 1)))))
+    roles = stored(dealt.groupBy(place.alias("r_place")).agg(F.collect_set(F.struct("page_id", "digest", "last")).alias("said")), "revisits")
+    own = own.withColumn("salt", salts(F.pmod(F.monotonically_increasing_id(), F.lit(_SALTS)).cast("int")))
+    own = own.withColumn("place", place).repartition(files, "place")
+    # The join is on the partitioning that cuts the archives; where the roles are few they are broadcast by their file size.
+    joined = own.join(roles, own.place == roles.r_place, "left")
+    mine = F.filter("said", lambda x: x["page_id"].eqNullSafe(F.col("page_id")) & (x["digest"] == F.col("digest")))
+    joined = joined.withColumn("last", F.get(mine, F.lit(0))["last"])
+    return joined.select("page_id", "url", "captured_at", "payload", "digest", "size", F.col("last").alias("refers_to"))
 
 
 def record(page: dict[str, Column]) -> Column:
@@ -65,10 +90,14 @@ def record(page: dict[str, Column]) -> Column:
     )
 
 
-def write_archives(roles: DataFrame, path: str, payload_bytes: int) -> None:
-    """Writes a record per row of ``with_roles`` below ``path``, in files of about FILE_BYTES of payload, or so many that all cores write."""
-    files = max(-(-payload_bytes // FILE_BYTES), 2 * roles.sparkSession.sparkContext.defaultParallelism)
-    text = roles.select(record({c: F.col(c) for c in roles.columns}).alias("value")).coalesce(files)
+def archive_files(spark: SparkSession, payload_bytes: int) -> int:
+    """Files of about FILE_BYTES of payload, or so many that all cores write."""
+    return max(-(-payload_bytes // FILE_BYTES), 2 * spark.sparkContext.defaultParallelism)
+
+
+def write_archives(roles: DataFrame, path: str) -> None:
+    """Writes a record per row of ``with_roles`` below ``path``, a file or more for each partition."""
+    text = roles.select(record({c: F.col(c) for c in roles.columns}).alias("value"))
     text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -151,8 +180,8 @@ def _parsing(with_payload: bool):
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                own = [_entry(h, b, with_payload) for h, b in parse_records(_inflated(memoryview(content.as_buffer())))]
-                own.sort(key=sort_key)
+                records = enumerate(parse_records(_inflated(memoryview(content.as_buffer()))))
+                own = sorted(({"at": i, **_entry(h, b, with_payload)} for i, (h, b) in records), key=sort_key)
                 name = int.from_bytes(hashlib.sha1(path.as_py().encode()).digest()[:7])
                 step = 1000 if with_payload else 20_000
                 for a in range(0, len(own), step):
@@ -203,31 +232,39 @@ class LoserTree:
 
 
 _MERGED = RUN_SCHEMA.removesuffix(", payload binary") + ", capture_seq long"
+_STEP = 1 << 14
+
+
+def merged_order(table: pa.Table) -> np.ndarray:
+    """Places of the rows of sorted runs, one after the other, in the order that a loser tree gives."""
+    run = table.column("run").to_numpy()
+    starts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+    keys, times, ids = (table.column(c) for c in _ORDER)
+
+    def segment(lo: int, hi: int):
+        for a in range(lo, hi, _STEP):
+            part = [c.slice(a, min(_STEP, hi - a)).to_pylist() for c in (keys, times, ids)]
+            yield from (((k, t, i is not None, i or 0), a + n) for n, (k, t, i) in enumerate(zip(*part, strict=True)))
+
+    return np.fromiter((at for _, at in LoserTree([segment(*x) for x in zip(starts[:-1], starts[1:], strict=True)])), np.int64)
 
 
 def _merging(batches):
-    part, runs = TaskContext.get().partitionId(), {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in batch.to_pylist():
-            runs.setdefault(row["run"], []).append((sort_key(row), row))
-    for run in runs.values():
-        run.sort(key=lambda x: x[0])  # they arrive sorted, which costs one pass
-    out, n = [], 0
-    for _, row in LoserTree([runs[r] for r in sorted(runs)]):
-        out.append({**row, "capture_seq": (part << 40) + n})
-        n += 1
-        if len(out) == 10_000:
-            yield pa.RecordBatch.from_pylist(out, schema=schema.append(pa.field("capture_seq", pa.int64())))
-            out = []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema=schema.append(pa.field("capture_seq", pa.int64())))
-
-
-def merge_runs(runs: DataFrame) -> DataFrame:
+    part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    order = merged_order(table)
+    for a in range(0, len(order), _STEP):
+        out = table.take(pa.array(order[a : a + _STEP])).append_column("capture_seq", pa.array((part << 40) + np.arange(a, min(a + _STEP, len(order)))))
+        yield from out.to_batches()
+
+
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Globally ordered capture histories: the runs' rows without payloads, and ``capture_seq``, which rises along the order."""
-    return runs.drop("payload").repartitionByRange(*_ORDER).mapInArrow(_merging, _MERGED)
+    ranges = max(-(-runs.count() // range_rows), runs.sparkSession.sparkContext.defaultParallelism)
+    dealt = runs.drop("payload").repartitionByRange(ranges, *_UNIQUE).sortWithinPartitions("run", *_ORDER, "at")
+    return dealt.mapInArrow(_merging, _MERGED)
 
 
 def archive_and_index(pages: DataFrame, captured_at: Column, id: str = "page_id", url: str = "url", body: str = "html", min_revisit: int = MIN_REVISIT, path: str | None = None) -> DataFrame:
@@ -245,8 +282,8 @@ def archive_and_index(pages: DataFrame, captured_at: Column, id: str = "page_id"
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
     payload_bytes = pages.agg(F.sum(F.octet_length(F.col(body).cast("string")))).first()[0] or 0
-    write_archives(with_roles(pages, id, url, body, captured_at, min_revisit), path, payload_bytes)
-    return merge_runs(stored(read_runs(spark, path), "runs")).drop("run", "url")
+    write_archives(with_roles(pages, id, url, body, captured_at, archive_files(spark, payload_bytes), min_revisit), path)
+    return merge_runs(stored(read_runs(spark, path), "runs")).drop("run", "at", "url")
 
 
 #: DuckDB's form of ``op1``'s columns.
