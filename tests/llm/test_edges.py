@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for each operator."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -248,63 +249,76 @@ def test_packing(spark, docs, none, sf):
 
 def test_language(spark, docs, none, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
-    model = language.learn(table)
-    out = language.identify(table, model).join(table.select("doc_id", "lang"), "doc_id").toPandas()
+    trees = language.learn(table)
+    out = language.identify(table, trees).join(table.select("doc_id", "lang"), "doc_id").toPandas()
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in out.doc_id]).all()
     held = out[out.held_out]
     assert (held.lang == held.lang_pred).mean() > 0.95 and out.score.between(0, 1).all()
-    edge = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    edge = {r.doc_id: r for r in language.identify(docs, trees).collect()}
     assert (edge[4].lang_pred, edge[5].lang_pred, edge[6].lang_pred) == ("und", "und", "en")
-    assert language.identify(none, model).count() == 0 and language.learn(none) is None
-    assert {r.lang_pred for r in language.identify(docs, None).collect()} == {"und"}
+    assert language.identify(none, trees).count() == 0 and language.learn(none).count() == 0
+    assert {r.lang_pred for r in language.identify(docs, language.learn(none)).collect()} == {"und"}
+    # A shard for each language gives the same.
+    assert len(language.shards(trees)) == 1 and len(language.shards(trees, 1)) == trees.count() > 1
+    sharded = language.identify(table, trees, broadcast_bytes=1).toPandas().set_index("doc_id")
+    assert (sharded.lang_pred == out.set_index("doc_id").lang_pred[sharded.index]).all()
 
 
-def test_code_lengths_by_brute_force():
+def _counts(texts, order):
+    codes = np.concatenate([language.grams(np.frombuffer(b"\n" * order + t, np.uint8), order) for t in texts])
+    return [x.astype(t) for x, t in zip(np.unique(codes, return_counts=True), (np.uint64, np.float64), strict=True)]
+
+
+@pytest.mark.parametrize("order", [1, 4, 7])
+def test_code_lengths_by_brute_force(order):
+    """All bytes and all contexts count: one language uses every byte, far more than a hundred symbols."""
     rng = np.random.default_rng(8)
-    texts = {"x": [bytes(rng.choice(list(b"abcd "), 300).tolist()) for _ in range(3)], "y": [bytes(rng.choice(list(b"cdef\n"), 300).tolist()) for _ in range(3)]}
-    counts = {k: np.unique(np.concatenate([language.grams(np.frombuffer(language._START + t, np.uint8)) for t in v]), return_counts=True) for k, v in texts.items()}
-    model = language.Model(["x", "y"], counts)
-    used = sorted({b for v in texts.values() for t in v for b in t})
-    a = len(used) + 1  # and one symbol for all other bytes
-    kept = {}
-    for v in texts.values():
-        for t in v:
-            s = language._START + t
-            for i in range(3, len(s)):
-                kept[s[i - 3 : i]] = kept.get(s[i - 3 : i], 0) + 1
+    texts = {
+        "x": [bytes(rng.choice(list(b"abcd "), 300).tolist()) for _ in range(3)], "y": [bytes(rng.integers(0, 256, 400).tolist()) for _ in range(3)],
+        "z": ["\u043f\u0440\u0438\u0432\u0435\u0442 \u4f60\u597d ".encode() * 9, bytes(range(256)) * 2],
+    }
+    model = language.Model([*texts], [language.Tree(*_counts(v, order), order) for v in texts.values()])
 
     def probability(lang, context, symbol):
         n = {}
         for t in texts[lang]:
-            s = language._START + t
-            for i in range(3, len(s)):
+            s = b"\n" * order + t
+            for i in range(order, len(s)):
                 if s[i - len(context) : i] == context:
                     n[s[i]] = n.get(s[i], 0) + 1
-        lower = (lambda c: probability(lang, context[1:], c)) if context else (lambda c: 1 / a)
+        lower = (lambda c: probability(lang, context[1:], c)) if context else (lambda c: 1 / 256)
         if not n:
             return lower(symbol)
-        every = [*used, 0]
-        free = [c for c in every if c not in n]
-        if not free:
+        if len(n) == 256:
             return n[symbol] / sum(n.values())
         if symbol in n:
             return n[symbol] / (sum(n.values()) + len(n))
-        return len(n) / (sum(n.values()) + len(n)) * lower(symbol) / sum(lower(c) for c in free)
-
-    text = b"abca dfe\nz"
-    padded = language._START + text
-    want = []
-    for lang in ("x", "y"):
-        bits = 0.0
-        for i in range(3, len(padded)):
-            context = padded[i - 3 : i]
-            context = context if kept.get(context, 0) > 1 and all(b in used for b in context) else context[1:]
-            context = context if all(b in used for b in context) else b""
-            symbol = padded[i] if padded[i] in used else 0
-            bits -= np.log2(probability(lang, context, symbol))
-            bits += np.log2(256 - len(used)) if symbol == 0 else 0
-        want.append(bits)
-    assert np.allclose(model.bits([text])[0], want, rtol=1e-4)
+        return len(n) / (sum(n.values()) + len(n)) * lower(symbol) / (1 - sum(lower(c) for c in n))
+
+    text = b"abca d\xd0\xbf\xff\nz"
+    padded = b"\n" * order + text
+    want = [-sum(math.log2(probability(lang, padded[i - order : i], padded[i])) for i in range(order, len(padded))) for lang in texts]
+    assert np.allclose(model.bits([text])[0], want, rtol=1e-6)
+    one = model.bits([b"ab" * 40_000, text, b"", b"q"])
+    assert np.allclose(one[1], want, rtol=1e-6) and not one[2].any()
+    language_block, language._BLOCK = language._BLOCK, 1000
+    try:
+        assert np.allclose(model.bits([b"ab" * 40_000])[0], one[0])
+    finally:
+        language._BLOCK = language_block
+
+
+def test_languages_of_other_scripts(spark):
+    """Languages that share a script, and scripts of many bytes, are told apart by texts not learned from."""
+    rng = np.random.default_rng(9)
+    letters = {"ru": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436", "uk": "\u0430\u0431\u0432\u0433\u0454\u0457\u0456", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "el": "\u03b1\u03b2\u03b3\u03b4\u03b5", "en": "abcdefgh", "th": "".join(map(chr, range(0x0E01, 0x0E2F)))}
+    word = lambda x: "".join(rng.choice(list(letters[x]), rng.integers(2, 7)))
+    words = {x: [word(x) for _ in range(200)] for x in letters}
+    rows = [(i, " ".join(rng.choice(words[x], 40)), x) for i in range(480) for x in [[*letters][i % len(letters)]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, language.learn(docs)).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out.held_out]
+    assert len(held) > 60 and (held.lang == held.lang_pred).all()
 
 
 def test_top_k(spark, same):
@@ -314,15 +328,42 @@ def test_top_k(spark, same):
     frame = pd.DataFrame(rows[:132], columns=["vec_id", "embedding"])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("own") for c in ("id", "v", "dim", "cb", "rank", "score")})
     fine = df.where(F.col("vec_id").isin(*map(int, frame.vec_id))).dropDuplicates(["vec_id"])
-    for blocks in ((8192, 1024), (13, 4)):
-        same(topk.top_k(fine, fine.where("vec_id % 20 = 0"), candidate_block=blocks[0], query_block=blocks[1]), topk.SQL, tables={"embeddings": frame})
-    out = topk.top_k(df, df.where("vec_id % 20 = 0"), candidate_block=30).toPandas()
+    for values in (1 << 20, 8 * 13):
+        same(topk.top_k(fine, fine.where("vec_id % 20 = 0"), block_values=values), topk.SQL, tables={"embeddings": frame})
+    out = topk.top_k(df, df.where("vec_id % 20 = 0"), block_values=240).toPandas()
     assert set(out[out.query_id == 300].vec_id) == {301} and not ({220, 240, 260, 280} & {*out.query_id, *out.vec_id})
     assert out.groupby(["query_id", "rank"]).size().max() == 1
+    # The very long vectors cost no query its results.
+    assert set(out[out.query_id != 300].groupby("query_id").size()) == {20} and {*range(0, 121, 20), 200, 320} <= {*out.query_id}
     none = df.limit(0)
     assert topk.top_k(none, none).count() == 0
 
 
+def brute_top(ids, vectors, queries, k=20):
+    whole = [[math.floor(64 * float(x)) for x in v] for v in vectors]
+    out = []
+    for i in queries:
+        scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], w, strict=True)))), ids[j]) for j, w in enumerate(whole) if j != i]
+        out += [(ids[i], c, -s) for s, c in sorted(scores)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("lengths", [(1e4,), (1e9,), (1e37, 1e38), (1e160,), (1e160, 1e200), (1e300, -1e300)])
+@pytest.mark.parametrize("near", [False, True])
+def test_pivot_bounds_lose_nothing(lengths, near):
+    """Vectors of all lengths beside each other; ``near`` ones lie in tight clusters, where bounds prune."""
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(0, 0.3, (12, 16))[rng.integers(0, 12, 900)] * 20 + rng.normal(0, 0.05, (900, 16)) if near else rng.normal(0, 0.3, (900, 16))
+    for j, x in enumerate(lengths):
+        vectors[17 * (j + 1)] = x
+        vectors[20 * (j + 1)] = x * rng.normal(0, 1, 16)
+    vectors[40:44], vectors[60] = vectors[39], 0
+    ids, queries = np.arange(900), np.arange(0, 900, 60)
+    table = topk.PivotTable(ids, topk._floored(vectors))
+    got = list(table.search(ids[queries], topk._floored(vectors[queries])))
+    assert sorted(got, key=lambda x: (x[0], -x[2], x[1])) == brute_top(ids.tolist(), vectors.tolist(), queries.tolist())
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 80
     pages = [(1, "http://WWW.b.org/x?q=1", big), (2, "https://a.org:8080", big), (3, None, None), (4, "http://a.org/\r\nz", ""), (5, "http://a.org/", "small"), (6, "http://a.org/", "small"), (7, "x", big + "!"), (7, "x", big + "!"), (None, "http://a.org/", big), (8, "http://[bad", "y")]
@@ -346,6 +387,31 @@ def test_warc_round_trip(spark, tmp_path):
     assert empty.count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """Pages of 20 MB, a digest and a missing id with a third of all pages each: no archive gathers them."""
+    monkeypatch.setattr(warc_index, "FILE_BYTES", 8 << 20)
+    large = "".join(map(str, range(3_200_000)))[: 20 << 20]
+    rows = [(i, "http://a.org/", large[i:]) for i in range(4)] + [(i, "http://a.org/x", large[: 1 << 19]) for i in range(4, 64)] + [(None, "http://b.org/", large[9 : 1 << 19])] * 60
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    out = warc_index.archive_and_index(df, F.timestamp_seconds(F.lit(1_700_000_000)), path=path).toPandas()
+    assert len(out) == 124 and (out.record_type == "revisit").sum() == 59 and set(out[out.record_type == "revisit"].refers_to) == {63}
+    sizes = warc_index.read_runs(spark, path).groupBy("run").agg(F.sum(F.when(F.col("record_type") == "response", F.col("payload_bytes"))).alias("n")).toPandas()
+    assert len(sizes) >= 12 and sizes.n.max() < 60 << 20
+    assert out.sort_values("capture_seq")[["url_key", "captured_at"]].apply(tuple, axis=1).is_monotonic_increasing
+
+
+def test_ranges_of_runs(spark):
+    """Many small ranges, ties without an id among them, come out in one order."""
+    rng = np.random.default_rng(3)
+    rows = sorted((int(r), f"k{x}", f"t{x % 3}", None if x % 4 == 0 else int(x)) for r, x in zip(rng.integers(0, 7, 3000), rng.integers(0, 40, 3000), strict=True))
+    runs = spark.createDataFrame([(r, at, k, t, i, "u", "response", None, 1, "d", None) for at, (r, k, t, i) in enumerate(rows)], warc_index.RUN_SCHEMA)
+    out = warc_index.merge_runs(runs, range_rows=100).orderBy("capture_seq").collect()
+    key = lambda r: (r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0)
+    assert len({r.capture_seq for r in out}) == 3000 and sorted(r.at for r in out) == list(range(3000))
+    assert [key(r) for r in out] == sorted(map(key, out))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(0)
     for k in range(0, 9):
