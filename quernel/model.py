@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from enum import StrEnum
 
 
@@ -52,6 +52,18 @@ class Family(StrEnum):
 FILTER_FIELDS = ("event_name", "distinct_id", "session_id", "visit_id", "source_type")
 
 
+class _Bounded:
+    """Bounds with a zone become UTC without one; the first instant of year one stands for none."""
+
+    def __post_init__(self):
+        for name in ("since", "until"):
+            at = getattr(self, name, None)
+            if at is not None and at.tzinfo is not None:
+                at = at.astimezone(UTC).replace(tzinfo=None)
+            if at is not None:
+                object.__setattr__(self, name, None if at == datetime.min else at)
+
+
 @dataclass(frozen=True)
 class EventFilter:
     field: str
@@ -69,8 +81,8 @@ class PropertyFilter:
 
 
 @dataclass(frozen=True)
-class EventListQuery:
-    """A page of events. Times are naive UTC; None means unbounded."""
+class EventListQuery(_Bounded):
+    """A page of events. Times are UTC, or of the zone they name; None means unbounded."""
 
     tenant_id: str = ""
     project_id: str = ""
@@ -89,7 +101,7 @@ class EventListQuery:
 
 
 @dataclass(frozen=True)
-class EventCountQuery:
+class EventCountQuery(_Bounded):
     """A number of events: the list query's predicates without order and page."""
 
     tenant_id: str = ""
@@ -105,7 +117,7 @@ class EventCountQuery:
 
 
 @dataclass(frozen=True)
-class RealtimeQuery:
+class RealtimeQuery(_Bounded):
     tenant_id: str = ""
     project_id: str = ""
     source_id: str = ""

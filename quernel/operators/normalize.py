@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions.text import IDENTIFIER, MAX_ID, MAX_SOURCE_TYPE, MAX_STRING, SOURCE_TYPE, pattern_error, trimmed
+from quernel.operators.payload import computed, kind, read, text_of, time_of
 
 MAX_ENTRIES = 64
 #: JSON name of each text field, in protocol order, and its column.
@@ -18,70 +19,44 @@ BAGS = ("properties", "user_properties")
 _OPTIONAL = ("session_id", "visit_id")
 
 
-def _part(name: str) -> Column:
-    return F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
+def bag_text(bag: Column) -> Column:
+    """A bag variant as JSON; ``{}`` for null."""
+    return F.when(kind(bag) == "OBJECT", F.to_json(bag)).otherwise(F.lit("{}"))
 
 
-def _kind(v: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null where absent."""
-    return F.regexp_extract(F.schema_of_variant(v), r"\A\w+", 0)
-
-
-def _is_kind(name: str, kind: str) -> Column:
-    return F.coalesce(_kind(_part(name)).isin(kind, "VOID"), F.lit(True))
-
-
-def utc(ts: Column) -> Column:
-    """A zoned timestamp as a zone-free one in UTC, whatever the session's zone."""
-    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01").cast("timestamp_ntz"))
-
-
-def bag_entries(json: Column) -> Column:
-    """Entries (key, value) of a bag, by key; empty for null, '' and '{}'."""
-    entries = F.map_entries(F.try_parse_json(json).cast("map<string,variant>"))
-    # Variants have no order, so keys are sorted and their values looked up.
-    sorted_keys = F.array_sort(F.transform(entries, lambda e: e["key"]))
-    return F.coalesce(F.transform(sorted_keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), 1)["value"].alias("value"))), F.array().cast("array<struct<key:string,value:variant>>"))
-
-
-def bag_error(name: str, json: Column) -> Column:
-    """struct(field, reason) of the bag's first bad key in byte order, or null."""
-    entries = F.map_entries(F.try_parse_json(json).cast("map<string,variant>"))
+def bag_error(name: str, each: Column) -> Column:
+    """struct(field, reason) of the first bad key, in byte order, of a bag's entries, or null."""
     error = lambda field, reason: F.struct(field.alias("field"), F.lit(reason).alias("reason"))
 
     def of(e: Column) -> Column:
         key, value = e["key"], e["value"]
-        field, kind = F.concat(F.lit(f"{name}."), key), _kind(value)
+        field, of_kind = F.concat(F.lit(f"{name}."), key), e["kind"]
         return (
             F.when(key == "", error(F.lit(name), "contains empty property key"))
             .when(F.octet_length(key) > MAX_ID, error(field, "key is too long"))
             .when(~key.rlike(IDENTIFIER), error(field, "key contains unsupported characters"))
-            .when((kind == "STRING") & (F.octet_length(F.try_variant_get(value, "$", "string")) > MAX_STRING), error(field, "string value is too long"))
-            .when(kind.isin("OBJECT", "ARRAY"), error(field, "has unsupported value type"))
+            .when((of_kind == "STRING") & (F.octet_length(text_of(value)) > MAX_STRING), error(field, "string value is too long"))
+            .when(of_kind.isin("OBJECT", "ARRAY"), error(field, "has unsupported value type"))
         )
 
-    bad = F.array_sort(F.filter(F.transform(entries, of), lambda x: x.isNotNull()))
-    return F.when(F.size(entries) > MAX_ENTRIES, error(F.lit(name), "has too many entries")).otherwise(F.get(bad, F.lit(0)))
+    bad = F.array_sort(F.filter(F.transform(each, of), lambda x: x.isNotNull()))
+    return F.when(F.size(each) > MAX_ENTRIES, error(F.lit(name), "has too many entries")).otherwise(F.get(bad, F.lit(0)))
 
 
 def normalize(requests: DataFrame, raw: str = "raw", received_at: str = "received_at") -> DataFrame:
     """Adds the envelope's columns, ``error_field``, ``error_reason`` and ``malformed`` to each request.
 
-    ``malformed`` marks texts that are no JSON object or hold a field of a wrong
-    type. Other columns stay. JSON names are matched exactly.
+    ``malformed`` marks texts that are no JSON object (or null), go on after
+    it, or hold a field of a wrong type, a time that is no RFC 3339 one or a
+    number beyond the doubles. Other columns stay. JSON names are matched
+    exactly.
     """
-    df = requests.withColumn("_v", F.try_parse_json(F.col(raw)))
-    time = F.try_variant_get(F.col("_v"), "$.event_time", "string")
-    zoned = F.when(time.rlike(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z"), F.try_to_timestamp(time))
-    well = F.coalesce(_kind(F.col("_v")).isin("OBJECT", "VOID"), F.lit(False))
-    for name in (*FIELDS, "event_time"):
-        well = well & _is_kind(name, "STRING")
-    for name in BAGS:
-        well = well & _is_kind(name, "OBJECT")
-    df = df.withColumn("malformed", ~(well & (time.isNull() | zoned.isNotNull())))
-    df = df.withColumns({c: trimmed(F.try_variant_get(F.col("_v"), f"$.{name}", "string")) for name, c in FIELDS.items()})
-    df = df.withColumns({b: F.coalesce(F.when(_kind(_part(b)) == "OBJECT", F.to_json(_part(b))), F.lit("{}")) for b in BAGS})
-    df = df.withColumn("event_time", F.coalesce(utc(zoned), F.col(received_at)))
+    df = read(requests, raw, FIELDS, ["event_time"], BAGS)
+    part = lambda name: F.col("_p")[name]
+    made = {"malformed": ~F.col("_p.well")}
+    made |= {c: trimmed(text_of(part(name))) for name, c in FIELDS.items()}
+    made |= {b: bag_text(part(b)) for b in BAGS}
+    df = computed(df, made | {"event_time": F.coalesce(time_of(part("event_time_at")), F.col(received_at))})
     error = lambda field, reason: F.when(reason.isNotNull(), F.struct(F.lit(field).alias("field"), reason.alias("reason")))
     checks = []
     for name, c in FIELDS.items():
@@ -90,11 +65,11 @@ def normalize(requests: DataFrame, raw: str = "raw", received_at: str = "receive
         limits = (SOURCE_TYPE, MAX_SOURCE_TYPE) if name == "source_type" else (IDENTIFIER, MAX_ID)
         reason = pattern_error(F.col(c), *limits)
         checks.append(error(name, F.when(F.col(c) != "", reason) if name in _OPTIONAL else reason))
-    checks += [bag_error(b, F.col(b)) for b in BAGS]
+    checks += [bag_error(b, part(f"{b}_entries")) for b in BAGS]
     late = F.col("event_time") > F.col(received_at) + F.expr("INTERVAL 5 MINUTES")
     checks.append(error("event_time", F.when(late, F.lit("too far in the future"))))
-    df = df.withColumn("_e", F.when(~F.col("malformed"), F.coalesce(*checks)))
-    return df.withColumns({"error_field": F.col("_e.field"), "error_reason": F.col("_e.reason")}).drop("_v", "_e")
+    df = computed(df, {"_e": F.when(~F.col("malformed"), F.coalesce(*checks))})
+    return df.withColumns({"error_field": F.col("_e.field"), "error_reason": F.col("_e.reason")}).drop("_p", "_e")
 
 
 def valid_event_name(name: Column) -> Column:

@@ -116,9 +116,19 @@ def without_client(df: DataFrame) -> DataFrame:
 
 
 def with_status(df: DataFrame) -> DataFrame:
-    """``status`` and ``http_status`` of each request: rejected 400, filtered or accepted 202."""
-    filtered = F.col("filter_reason").isNotNull() if "filter_reason" in df.columns else F.lit(False)
-    error = F.when(F.col("malformed"), F.lit("invalid collect payload")).otherwise(F.concat_ws(": ", F.col("error_field"), F.col("error_reason")))
+    """``status``, ``http_status`` and ``error`` of each request.
+
+    A method other than POST (``method_status``) comes first: 405. Then what is
+    malformed or invalid: 400. What is filtered or accepted: 202, but 500 where
+    ``publish_error`` says why an accepted event could not be published.
+    """
+    given = lambda c, kind: F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)
+    method, failed = given("method_status", "int"), given("publish_error", "string")
+    invalid = F.when(F.col("malformed"), F.lit("invalid collect payload")).otherwise(F.concat_ws(": ", F.col("error_field"), F.col("error_reason")))
     bad = F.col("malformed") | F.col("error_field").isNotNull()
-    status = F.when(bad, "rejected").when(filtered, "filtered").otherwise("accepted")
-    return df.withColumns({"status": status, "http_status": F.when(bad, 400).otherwise(202), "error": F.when(bad, error)})
+    filtered = given("filter_reason", "string").isNotNull()
+    lost = ~filtered & failed.isNotNull()
+    status = F.when(method.isNotNull() | bad, "rejected").when(lost, "failed").when(filtered, "filtered").otherwise("accepted")
+    code = F.when(method.isNotNull(), method).when(bad, 400).when(lost, 500).otherwise(202)
+    error = F.when(method.isNotNull(), F.lit("method not allowed")).when(bad, invalid).when(lost, failed)
+    return df.withColumns({"status": status, "http_status": code, "error": error})

@@ -12,6 +12,7 @@ table, whose rows are combined per event before the join.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 from functools import reduce
@@ -121,6 +122,15 @@ class QueryBuilder:
                 raise InvalidEventQuery(f"property filter {i} null only supports eq")
         elif f.value_type not in list(ValueType):
             raise InvalidEventQuery(f'property filter {i} unsupported property value type "{f.value_type}"')
+        elif not self._fits(f):
+            raise InvalidEventQuery(f'property filter {i} value is no "{f.value_type}"')
+
+    @staticmethod
+    def _fits(f: PropertyFilter) -> bool:
+        """Whether the value can stand in the slot of its type."""
+        if f.value_type == ValueType.NUMBER:
+            return isinstance(f.value, (int, float)) and not isinstance(f.value, bool) and math.isfinite(f.value)
+        return isinstance(f.value, bool if f.value_type == ValueType.BOOL else str)
 
     def _order(self, query: EventListQuery) -> list[tuple[str, str]]:
         """Ties go to the later event time, the later receipt, then (our own) the smaller id.
@@ -147,10 +157,11 @@ class QueryBuilder:
         if "route" in df.columns:
             tests.insert(0, F.col("route") == route_of(query.tenant_id, query.project_id, query.source_id, self.prefix))
         bound = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+        days = "day" in df.columns  # a folder each
         if query.since:
-            tests.append(F.col("event_time") >= bound(query.since))
+            tests += [F.col("event_time") >= bound(query.since)] + ([F.col("day") >= F.lit(query.since.date())] if days else [])
         if query.until:
-            tests.append(F.col("event_time") < bound(query.until))
+            tests += [F.col("event_time") < bound(query.until)] + ([F.col("day") <= F.lit(query.until.date())] if days else [])
         return df.where(reduce(Column.__and__, tests))
 
     def _scope(self, query: EventListQuery, events: DataFrame, properties: DataFrame) -> DataFrame:
@@ -175,8 +186,8 @@ class QueryBuilder:
         test = (F.col("property_scope") == str(f.scope)) & (F.col("property_name") == f.name.strip()) & (F.col("property_type") == str(f.value_type))
         if f.value_type == ValueType.NULL:
             return test
-        slot = F.col(_SLOTS[ValueType(f.value_type)])
-        return test & ((slot == F.lit(f.value)) if f.op == Op.EQ else (slot != F.lit(f.value)))
+        slot, value = F.col(_SLOTS[ValueType(f.value_type)]), F.lit(float(f.value) if f.value_type == ValueType.NUMBER else f.value)
+        return test & ((slot == value) if f.op == Op.EQ else (slot != value))
 
     def _evidence(self, family: Family, query: EventListQuery, limit: int) -> Evidence:
         window = int((query.until - query.since).total_seconds()) if query.since and query.until else 0

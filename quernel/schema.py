@@ -46,12 +46,22 @@ def property_table(physical: str) -> str:
     return safe_name(physical, "physical table name") + PROPERTY_SUFFIX
 
 
-def create_table(physical: str, schema: T.StructType) -> str:
-    """DDL of a Parquet table, its columns in the schema's order."""
+def create_table(physical: str, schema: T.StructType, partitions: T.StructType | None = None, order: tuple[str, ...] = (), buckets: int = 16) -> str:
+    """DDL of a Parquet table, its columns in the schema's order: partition columns last, rows sorted by ``order`` in buckets of its last column."""
     if not physical.strip():
         raise ValueError("physical table name is required")
-    columns = ",\n".join(f"  `{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return f"CREATE TABLE IF NOT EXISTS `{safe_name(physical, 'physical table name')}` (\n{columns}\n) USING parquet"
+    given = [*schema, *(partitions or ())]
+    columns = ",\n".join(f"  `{f.name}` {f.dataType.simpleString()}" for f in given)
+    out = f"CREATE TABLE IF NOT EXISTS `{safe_name(physical, 'physical table name')}` (\n{columns}\n) USING parquet"
+    if partitions:
+        out += f"\nPARTITIONED BY ({', '.join(partitions.fieldNames())})"
+    if order:
+        out += f"\nCLUSTERED BY ({order[-1]}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
+    return out
+
+
+#: Partition columns of the event and property tables.
+FOLDERS = _struct(route=_S, day=T.DateType())
 
 
 def short_hash(id: Column) -> Column:

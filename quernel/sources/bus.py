@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions.text import client_ip, trimmed
-from quernel.schema import EVENT_COLUMNS
+from quernel.schema import DEAD_LETTERS, EVENT_COLUMNS
 
 #: JSON names of the envelope, in the order of the event table's columns.
 _JSON = {c: ("id" if c == "event_id" else c) for c in EVENT_COLUMNS}
@@ -20,7 +20,7 @@ _LANDING = "raw string, method string, user_agent string, referer string, forwar
 
 
 def collect_landing(spark: SparkSession, path: str, trust_proxy: bool = False, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Landed HTTP requests as ``raw``, ``received_at`` and client columns; only POST passes, ``http_status`` 405 marks the others."""
+    """Landed HTTP requests as ``raw``, ``received_at`` and client columns; only POST passes, ``method_status`` 405 marks the others for ``with_status``."""
     reader = (spark.readStream if stream else spark.read).schema(_LANDING)
     if stream and files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -40,7 +40,8 @@ def event_key() -> Column:
 
 def messages(envelopes: DataFrame) -> DataFrame:
     """Envelopes to (key, value)."""
-    time = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    # Not by a format: that would go through the session's zone, which may lack the hour.
+    time = lambda c: F.concat(F.replace(c.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     bags = {"properties", "user_properties"}
     fields = [(F.try_parse_json(F.coalesce(F.col(c), F.lit("{}"))) if c in bags else time(F.col(c)) if c.endswith("_at") or c == "event_time" else F.col(c)).alias(_JSON[c]) for c in EVENT_COLUMNS]
     return envelopes.select(event_key().alias("key"), F.to_json(F.struct(*fields)).alias("value"))
@@ -142,3 +143,20 @@ def read_kafka(spark: SparkSession, options: KafkaOptions) -> DataFrame:
 
 def publish_kafka(envelopes: DataFrame, options: KafkaOptions) -> None:
     messages(envelopes).write.format("kafka").options(**options.writing()).save()
+
+
+def dead_letter_messages(rows: DataFrame) -> DataFrame:
+    """Dead letters to (key, value): a JSON record with the envelope as an object and raw bytes in base 64, under the message's own key."""
+    time = F.concat(F.replace(F.col("failed_at").cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    made = {"envelope": F.try_parse_json("envelope"), "raw": F.base64(F.encode("raw", "UTF-8")), "failed_at": time}
+    return rows.select(F.col("original_key").alias("key"), F.to_json(F.struct(*(made.get(c, F.col(c)).alias(c) for c in DEAD_LETTERS.fieldNames()))).alias("value"))
+
+
+def publish_dead_letters(rows: DataFrame, options: KafkaOptions) -> None:
+    """A sink for ``Ingest``: writes dead letters to their topic."""
+    dead_letter_messages(rows).write.format("kafka").options(**options.writing(dead=True)).save()
+
+
+def publish_dead_files(rows: DataFrame, path: str) -> None:
+    """The same as JSON lines of files."""
+    dead_letter_messages(rows).write.mode("append").json(path)

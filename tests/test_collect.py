@@ -103,7 +103,7 @@ def test_flatten_order_and_types(spark):
     cols = "event_id tenant_id project_id source_id source_type event_name distinct_id session_id visit_id".split()
     df = spark.createDataFrame([("e", '{"score":42.5,"button":"hero","beta":true,"n":null}', '{"plan":"free"}'), ("f", "{}", "{}"), ("g", '{"a":{"b":1}}', "{}")], "event_id string, properties string, user_properties string")
     df = df.withColumns({c: F.lit("x") for c in cols[1:]} | {c: F.lit("2026-05-01 00:00:00").cast("timestamp_ntz") for c in ("event_time", "received_at")} | {"source": F.lit("")})
-    assert [r[0] for r in df.select(unflattenable(df)).collect()] == [None, None, "property event.a has unsupported value type"]
+    assert [r[0] for r in df.select(unflattenable()).collect()] == [None, None, "property event.a has unsupported value type"]
     rows = flatten(df.where("event_id <> 'g'")).orderBy("property_scope", "property_name").collect()
     assert [(r.property_scope, r.property_name, r.property_type, r.string_value, r.number_value, r.bool_value) for r in rows] == [("event", "beta", "bool", "", 0.0, True), ("event", "button", "string", "hero", 0.0, False), ("event", "n", "null", "", 0.0, False), ("event", "score", "number", "", 42.5, False), ("user", "plan", "string", "free", 0.0, False)]
 

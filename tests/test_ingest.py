@@ -94,11 +94,15 @@ def test_status_transitions(spark):
     claimed = G.claims(table, incoming)
     assert {r.event_id: r.claim for r in claimed.collect()} == {"done": "skip", "bad": "again", "open": "again", "new": "new"}
     assert {r.event_id: r.claim for r in G.claims(table, incoming, G.PROPERTY_WRITES).collect()} == {"done": "skip", "bad": "again", "open": "refused", "new": "new"}
-    begun = G.start(table, claimed, now)
-    assert {r.event_id: (r.status, r.attempt) for r in begun.collect()} == {"done": ("inserted", 1), "bad": ("processing", 3), "open": ("processing", 2), "new": ("processing", 1)}
-    done = G.commit(begun, incoming.where("event_id = 'bad'"), now)
-    back = {r.event_id: r for r in G.roll_back(done, incoming.where("event_id IN ('bad', 'new')"), "x" * 3000, now).collect()}
+    begun = G.started(claimed, now)
+    assert {r.event_id: (r.status, r.attempt, r.last_error) for r in begun.collect()} == {"bad": ("processing", 3, ""), "open": ("processing", 2, ""), "new": ("processing", 1, "")}
+    table = G.applied(table, begun)
+    assert {r.event_id: (r.status, r.attempt) for r in table.collect()} == {"done": ("inserted", 1), "bad": ("processing", 3), "open": ("processing", 2), "new": ("processing", 1)}
+    table = G.applied(table, G.committed(table.where("event_id = 'bad'"), now))
+    back = {r.event_id: r for r in G.applied(table, G.rolled_back(table.where("event_id IN ('bad', 'new')"), "x" * 3000, now)).collect()}
     assert back["bad"].status == "inserted" and back["bad"].last_error == "" and back["new"].status == "failed" and len(back["new"].last_error) == 2048
+    refused = G.claims(table, incoming, G.PROPERTY_WRITES).where("claim = 'refused'").select("event_id", G.refusal().alias("why"))
+    assert {r.why for r in refused.collect()} == {'property indexing status "processing" is not reclaimable'}
 
 
 def test_tables_and_names():
