@@ -2,8 +2,9 @@
 
 One pass over the texts finds the spans of three fixed kinds and, beside them,
 credential-like tokens. The hashes of all found values are then counted by
-distinct documents and owners (sources). A value that many owners hold is a
-copied example; one that a single owner holds, in few documents, looks live.
+distinct documents and owners (sources). A value that several owners hold is a
+copied example; one that a single owner holds looks live, in however many of
+its documents: copies within an owner say nothing (``max_docs`` may bound them).
 Live tokens are reported as spans of the kind ``owned``; base spans always
 stay, and ``n_live`` and ``n_shared`` tell the two classes apart.
 
@@ -34,9 +35,8 @@ TOKEN = TOKEN_CLASS + "{20,}"
 MIN_ASSIGNED = 6
 #: Kinds in their order where spans start together.
 KINDS = ("assign", "access", "hex", "owned")
-#: A live value has one owner and at most this many documents.
+#: Owners of a live value.
 MAX_OWNERS = 1
-MAX_DOCS = 2
 _BLOCK = 256
 
 
@@ -107,20 +107,23 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, max_docs: int = MAX_DOCS) -> DataFrame:
+def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS, max_docs: int | None = None) -> DataFrame:
     """One row per row: id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_shared.
 
     Span lists read ``kind:start:end``, comma-joined by start, then kind, in
     code points with exclusive ends; ``spans`` holds the base spans and the
     owned tokens. ``n_live`` and ``n_shared`` split all reported base spans by
-    whether their value looks live. A null text is empty. Repeated rows each
-    get their row and count as one document where their ids agree. Further
-    columns are ignored, an empty table gives an empty one.
+    whether their value looks live. A null text is empty, texts are searched
+    whole; the tokens of one text are compared with its base spans, so time
+    grows with the product of the two in a text that is full of both. Repeated
+    rows each get their row and count as one document where their ids agree.
+    Further columns are ignored, an empty table gives an empty one.
     """
     found = stored(scan(docs, id, text, owner), "secret-spans")
     some = found.where((F.size("base") > 0) | (F.size("tokens") > 0))
     hits = some.select("rid", "id", "owner", F.explode(F.concat("base", "tokens")).alias("x")).select("rid", "id", "owner", "x.*")
-    live = ownership(hits).where((F.col("n_owners") <= max_owners) & (F.col("n_docs") <= max_docs)).select(F.col("hash").alias("live_hash"))
+    few = (F.col("n_owners") <= max_owners) & (F.lit(True) if max_docs is None else F.col("n_docs") <= max_docs)
+    live = ownership(hits).where(few).select(F.col("hash").alias("live_hash"))
     told = hits.join(live, hits.hash == live.live_hash, "left").select("rid", "id", F.struct("start", "kind", "end").alias("span"), F.col("live_hash").isNotNull().alias("live"))
     kind = F.col("span.kind")
     keep = (kind < 3) | F.col("live")
@@ -159,8 +162,7 @@ hits AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM a3 WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = a3.rid AND b.start < a3.stop AND a3.start < b.stop)
 ), live AS (
-  SELECT v FROM (SELECT v, coalesce(owner, chr(0)) AS o, count(DISTINCT coalesce(doc_id, -1)) AS n FROM hits GROUP BY 1, 2) z
-  GROUP BY v HAVING count(*) <= {MAX_OWNERS} AND sum(n) <= {MAX_DOCS}
+  SELECT v FROM hits GROUP BY v HAVING count(DISTINCT coalesce(owner, chr(0))) <= {MAX_OWNERS}
 ), told AS (
   SELECT h.*, l.v IS NOT NULL AS is_live, ['{"', '".join(KINDS)}'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s FROM hits h LEFT JOIN live l ON h.v = l.v
 ), r AS (
