@@ -7,10 +7,14 @@ windows from the shorter tiers: with whole documents while one fits, in the end
 with a cut one. Windows are therefore full. What a task has left at its end is
 cut into windows of falling powers of two, so nothing is padded at all.
 
-Sequences of equal length are dealt into step groups of equal token totals.
-
-A task works on its own input split in bounded rounds: no shuffle, and memory
-for one round of documents.
+Sequences of equal length are dealt into step groups of equal token totals. A
+task fills groups of its own; the sequences that its last, open groups hold
+(less than a group for each length) are dealt anew over all tasks, by numbers
+counted in a table with a row for each task and length. So at most one group of
+each length falls short.
+
+A task works on its own input split in bounded rounds: memory for one round of
+documents, and no shuffle but that of the pieces in open groups.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.llm.common import stored
 from quernel.llm.tokens import encoder, vocabulary
 
 MODEL = "byte_bpe_50k.json"
@@ -34,6 +39,7 @@ STEP_TOKENS = 64 * 2048
 ROUND = 1 << 21
 _ROWS = 128
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
+_MADE = SCHEMA + ", nth long"
 
 
 class Packer:
@@ -45,6 +51,8 @@ class Packer:
         self.tiers, self.step_tokens, self.base = tiers, step_tokens, part << 40
         self.pools: dict[int, list] = {t: [] for t in tiers}
         self.made: dict[int, int] = {}
+        #: Rows of the sequences in the open step group of each length.
+        self.open: dict[int, list] = {}
         self.n, self.rows = 0, []
 
     def route(self, doc, ids: np.ndarray, start: int, length: int) -> None:
@@ -57,15 +65,17 @@ class Packer:
             self.pools[next(t for t in reversed(self.tiers) if t >= length)].append((doc, ids, start, length))
 
     def _emit(self, size: int, pieces: list) -> None:
-        nth = self.made.get(size, 0)
+        nth, each = self.made.get(size, 0), max(1, self.step_tokens // size)
         self.made[size] = nth + 1
-        group = nth // max(1, self.step_tokens // size)
-        step = self.base + (group << 12) + size.bit_length()
-        offset = 0
+        held, offset = self.open.setdefault(size, []), 0
         for doc, ids, start, length in pieces:
-            self.rows.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), self.base + self.n, offset, size, step))
+            held.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), self.base + self.n, offset, size, nth % each))
             offset += length
         self.n += 1
+        if (nth + 1) % each == 0:
+            step = self.base + (nth // each << 12) + size.bit_length()
+            self.rows += [(*row[:-1], step, None) for row in held]
+            self.open[size] = []
 
     def _next(self, gap: int):
         """A pool to fill ``gap`` from: the longest tier that surely fits, else the shortest with any."""
@@ -110,11 +120,17 @@ class Packer:
             self._emit(size, window)
             total -= size
 
+    def close(self) -> None:
+        """Rows of open step groups get their place among the open ones (``nth``) instead of a group."""
+        for held in self.open.values():
+            self.rows += [(*row[:-1], None, row[-1]) for row in held]
+        self.open = {}
+
     def taken(self):
         """The rows so far, as one batch."""
-        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 9
+        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 10
         self.rows = []
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _MADE.split(", ")])
 
 
 def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int):
@@ -135,12 +151,25 @@ def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int):
                     yield packer.taken()
                     held = 0
         packer.pack(last=True)
+        packer.close()
         if packer.rows:
             yield packer.taken()
 
     return run
 
 
+def _regrouped(open_: DataFrame, step_tokens: int) -> DataFrame:
+    """Pieces of open step groups, dealt to groups over all tasks."""
+    part = F.shiftright("sequence_id", 40)
+    counts = open_.groupBy(part.alias("c_part"), F.col("tier").alias("c_tier")).agg((F.max("nth") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("c_tier").orderBy("c_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("c_part", "c_tier", F.coalesce(before, F.lit(0)).alias("first"))
+    dealt = open_.join(starts, (part == F.col("c_part")) & (F.col("tier") == F.col("c_tier")))
+    each = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
+    group = F.lit(1 << 62) + F.shiftleft(F.floor((F.col("first") + F.col("nth")) / each).cast("long"), 12) + F.length(F.bin("tier"))
+    return dealt.withColumn("step_group", group).select(*(x.split()[0] for x in SCHEMA.split(", ")))
+
+
 def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", model: str = MODEL, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, path_of=vocabulary) -> DataFrame:
     """One row per piece, columns as in ``SCHEMA``.
 
@@ -152,4 +181,5 @@ def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", mode
     one.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_packing(path_of, model, tiers, step_tokens), SCHEMA)
+    made = stored(rows.mapInArrow(_packing(path_of, model, tiers, step_tokens), _MADE), "pieces")
+    return made.where("nth IS NULL").drop("nth").unionByName(_regrouped(made.where("nth IS NOT NULL"), step_tokens))
