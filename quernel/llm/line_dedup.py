@@ -4,20 +4,24 @@ Pass 1 counts, for each distinct line key, the documents that hold it. The
 keys found in enough documents are indexed per shard by a minimal perfect
 hash, whose slots hold a 64-bit fingerprint, the (saturated) document count
 and the document that keeps the line. Pass 2 probes those arrays from the
-documents: line texts are never joined or shuffled.
+documents: lines are never joined or shuffled.
 
 Keys are 128-bit hashes (XXH3). 64 bits place a key, the other 64 are its
 fingerprint, so a line that was not indexed is told apart.
 
 Skew: a key's state is its largest ``min_docs`` document ids. Each task keeps
 no more than that per key before the shuffle, so a line that every document
-holds arrives as a few rows from each task.
+holds arrives as a few rows from each task. Shards are as many as the input is
+large (``SHARD_BYTES``).
 
 Index size: while all shards together fit ``broadcast_bytes`` (a measured sum,
 checked at run time) the documents probe a broadcast copy and nothing else
-moves. Beyond that the index stays sharded: documents send (hash, doc_id)
-probes to the shards, a shard with more than its share of probes is copied to
-several tasks, and only the dropped keys come back.
+moves. Up to ``PASSES`` times that, groups of shards that fit are broadcast one
+after the other, and the documents pass by each: they are rewritten between,
+but not shuffled. Beyond that a rewrite for each group would cost more than one
+shuffle: documents send (hash, doc_id) probes to the shards, a shard with more
+than its share of probes is copied to several tasks, the keys to drop come back
+by id, and the documents are shuffled once by their id to meet them.
 """
 
 from __future__ import annotations
@@ -29,15 +33,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quernel.llm.common import SPACE_CHARS, SPACE_CLASS, release, stored
 
 #: Least code points of a key, and least documents that must hold it.
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Most bytes of index that are broadcast.
+#: Most bytes of index that are broadcast at once.
 BROADCAST_BYTES = 48 << 20
+#: Groups of shards that the documents pass by; more are joined instead.
+PASSES = 6
+#: Input of a shard, as Spark estimates it (compressed files), and most shards.
+SHARD_BYTES, SHARDS = 16 << 20, 1 << 16
 #: Entries that a task gathers before it sorts and trims them.
 _GATHER = 1 << 20
 _SPACE = SPACE_CHARS.encode()
@@ -258,12 +265,18 @@ def _edit(texts, rows, dropped_of):
 
 
 def _edited(batch, rows, dropped_of):
+    """The batch with its text edited; ``n_lines`` is that of the first pass, ``n_dropped`` adds up."""
     out, n_lines, n_gone = _edit(batch.column("text").to_pylist(), rows, dropped_of)
-    return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
+    first = batch.column("n_lines").fill_null(0).to_numpy(zero_copy_only=False)
+    made = {
+        "text": pa.array(out, pa.binary()), "n_lines": pa.array(np.where(first > 0, first, np.array(n_lines, np.int64))),
+        "n_dropped": pa.array(batch.column("n_dropped").to_numpy(zero_copy_only=False) + np.array(n_gone, np.int64)),
+    }
+    return pa.RecordBatch.from_arrays([made.get(c, batch.column(c)) for c in ("row", "id", "text", "n_lines", "n_dropped")], ["row", "id", "text", "n_lines", "n_dropped"])
 
 
 def _probing(sent, shards: int, min_chars: int):
-    """Probes a broadcast list of (shard, blob)."""
+    """Probes a broadcast list of (shard, blob); lines of other shards stay."""
 
     def run(batches):
         index = {s: pickle.loads(blob) for s, blob in sent.value}
@@ -347,7 +360,65 @@ def _dropping(min_chars: int):
     return run
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _shards(docs: DataFrame) -> int:
+    """As many as the input is large, by the estimate that Spark plans with."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(SHARDS, max(size // SHARD_BYTES, 2 * docs.sparkSession.sparkContext.defaultParallelism))
+
+
+def _groups(index: DataFrame, broadcast_bytes: int) -> list[list[int]]:
+    """Shards that have an index, in groups that fit (a larger shard is alone)."""
+    out, total = [], 0
+    for r in index.where("blob IS NOT NULL").select("shard", F.octet_length("blob").alias("n")).orderBy("shard").collect():  # SHARDS rows at most
+        if not out or total + r.n > broadcast_bytes:
+            out.append([])
+            total = 0
+        out[-1].append(r.shard)
+        total += r.n
+    return out
+
+
+def _joined(rows: DataFrame, index: DataFrame, shards: int, min_chars: int) -> DataFrame:
+    """The documents edited by way of the shards: probes go there, the keys to drop come back."""
+    total = index.agg(F.sum("probes")).first()[0]
+    copies = F.greatest(F.lit(1), F.ceil(F.col("probes") * F.lit(shards) / F.lit(total))).cast("int")
+    # One row per shard, of a few bytes: bounded by SHARDS.
+    places = F.broadcast(index.where("blob IS NOT NULL").select("shard", copies.alias("copies")))
+    place = lambda shard, copy: F.concat_ws("/", shard, copy)
+    named = rows.where("id IS NOT NULL")
+    probes = named.where("text IS NOT NULL").select("id", "text").mapInArrow(_sending(shards, min_chars), "shard int, h1 long, h2 long, doc long")
+    probes = probes.join(places, "shard").select(place(F.col("shard"), F.pmod(F.xxhash64("doc", "h1"), F.col("copies"))).alias("place"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
+    null = F.lit(None).cast("long")
+    arrays = index.where("blob IS NOT NULL").select(F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "shard", "blob")
+    arrays = arrays.select(place(F.col("shard"), F.col("copy")).alias("place"), "blob", null.alias("h1"), null.alias("h2"), null.alias("doc"))
+    gone = arrays.unionByName(probes).repartition("place").sortWithinPartitions("place", F.col("doc").asc_nulls_first())
+    gone = gone.select(F.xxhash64("place").alias("place"), "blob", "h1", "h2", "doc")
+    gone = gone.mapInArrow(_answering, "doc long, h1 long, h2 long").groupBy(F.col("doc").alias("gone_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+    met = named.join(gone, F.col("id") == F.col("gone_id"), "left").drop("gone_id")
+    # Rows without an id lose nothing: they don't meet in the join.
+    return met.unionByName(rows.where("id IS NULL").withColumn("gone", F.lit(None).cast(met.schema["gone"].dataType))).mapInArrow(_dropping(min_chars), rows.schema)
+
+
+def _edited_rows(docs: DataFrame, id: str, text: str, min_chars: int, min_docs: int, broadcast_bytes: int, passes: int) -> DataFrame:
+    """row (all columns but the text), text, n_lines and n_dropped of each row."""
+    spark, shards = docs.sparkSession, _shards(docs)
+    index = stored(build_index(docs, id, text, min_chars, min_docs, shards), "line-index")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    groups = _groups(index, broadcast_bytes)
+    if len(groups) > passes:
+        out = _joined(rows, index, shards, min_chars)
+    else:
+        for i, group in enumerate(groups or [[]]):
+            rows = rows if i == 0 else stored(rows, "line-pass")
+            blobs = index.where(F.col("shard").isin(group)).select("shard", "blob").collect() if group else []
+            sent = spark.sparkContext.broadcast([(r.shard, bytes(r.blob)) for r in blobs])
+            rows = rows.mapInArrow(_probing(sent, shards, min_chars), rows.schema)
+        out = rows
+    return out.withColumn("text", F.col("text").cast("string"))
+
+
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, passes: int = PASSES) -> DataFrame:
     """Drops lines whose key many documents hold, except in the largest id that holds it.
 
     Returns all columns of ``docs`` with the text edited, and a struct ``lines``
@@ -360,33 +431,18 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_cha
     occur, as ids decide. Lines may be of any length; an empty table gives an
     empty one.
     """
-    spark = docs.sparkSession
-    shards = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = stored(build_index(docs, id, text, min_chars, min_docs, shards), "line-index")
-    others = [c for c in docs.columns if c != text and c != "lines"]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    out = T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    size = index.agg(F.sum(F.octet_length("blob"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        sent = spark.sparkContext.broadcast([(r.shard, bytes(r.blob)) for r in index.where("blob IS NOT NULL").select("shard", "blob").collect()])
-        edited = rows.mapInArrow(_probing(sent, shards, min_chars), out)
-    else:
-        total = index.agg(F.sum("probes")).first()[0]
-        copies = F.greatest(F.lit(1), F.ceil(F.col("probes") * F.lit(shards) / F.lit(total))).cast("int")
-        # One row per shard at most, and a few bytes each: bounded by the number of shards.
-        places = F.broadcast(index.where("blob IS NOT NULL").select("shard", copies.alias("copies")))
-        place = lambda shard, copy: F.concat_ws("/", shard, copy)
-        probes = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text").mapInArrow(_sending(shards, min_chars), "shard int, h1 long, h2 long, doc long")
-        probes = probes.join(places, "shard").select(place(F.col("shard"), F.pmod(F.xxhash64("doc", "h1"), F.col("copies"))).alias("place"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
-        null = F.lit(None).cast("long")
-        arrays = index.where("blob IS NOT NULL").select(F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "shard", "blob")
-        arrays = arrays.select(place(F.col("shard"), F.col("copy")).alias("place"), "blob", null.alias("h1"), null.alias("h2"), null.alias("doc"))
-        gone = arrays.unionByName(probes).repartition("place").sortWithinPartitions("place", F.col("doc").asc_nulls_first())
-        gone = gone.select(F.xxhash64("place").alias("place"), "blob", "h1", "h2", "doc")
-        gone = gone.mapInArrow(_answering, "doc long, h1 long, h2 long").groupBy(F.col("doc").alias("gone_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
-        edited = rows.join(gone, F.col("id") == F.col("gone_id"), "left").drop("gone_id").mapInArrow(_dropping(min_chars), out)
-    named = {text: F.col("text")}
-    return edited.select(*(named.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c != "lines"), F.struct("n_lines", "n_dropped").alias("lines"))
+    edited = _edited_rows(docs, id, text, min_chars, min_docs, broadcast_bytes, passes)
+    return edited.select(*_own(docs, text, drop=("lines",)), F.struct("n_lines", "n_dropped").alias("lines"))
+
+
+def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``dedup_lines`` with the columns of ``docs`` alone, whatever their names."""
+    settings = {"min_chars": MIN_CHARS, "min_docs": MIN_DOCS, "broadcast_bytes": BROADCAST_BYTES, "passes": PASSES} | options
+    return _edited_rows(docs, id, text, **settings).select(*_own(docs, text))
+
+
+def _own(docs: DataFrame, text: str, drop: tuple[str, ...] = ()):
+    return [(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in drop]
 
 
 #: DuckDB's form of ``op9``'s columns.

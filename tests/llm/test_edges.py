@@ -59,15 +59,34 @@ def test_repeated_words_by_brute_force(spark):
     assert {r.doc_id: r.n_repeat_words for r in df.collect()} == {i: brute(t.split()) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("limit", [line_dedup.BROADCAST_BYTES, 0])
-def test_line_dedup(spark, docs, none, same, limit):
-    out = line_dedup.dedup_lines(docs, broadcast_bytes=limit)
+#: One broadcast, a group of shards after the other, the join.
+WAYS = [{}, {"broadcast_bytes": 1, "passes": 1000}, {"broadcast_bytes": 1, "passes": 0}]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_line_dedup(spark, docs, none, same, way):
+    out = line_dedup.dedup_lines(docs, **way)
     digest = out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
     same(digest, line_dedup.SQL, tables={"documents": plain(spark)})
     assert out.columns == [c for c in docs.columns if c != "lines"] + ["lines"]
     kept = {r.doc_id: r.text for r in out.collect()}
     assert kept[1] == "own one" and kept[3] == f"x\n{LINE}\n{LINE}" and kept[4] is None
-    assert line_dedup.dedup_lines(none, broadcast_bytes=limit).count() == 0
+    assert line_dedup.dedup_lines(none, **way).count() == 0
+    own = line_dedup.drop_lines(docs, **way)
+    assert own.columns == docs.columns and {r.lines for r in own.collect()} == {"own lines"}
+
+
+@pytest.mark.parametrize("way", WAYS)
+def test_line_dedup_of_many_lines(spark, sf, same, way):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    out = line_dedup.dedup_lines(table, **way)
+    same(out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")), line_dedup.SQL)
+    if way.get("passes") != 0:
+        assert exchanges(out) == 0
 
 
 def test_perfect_hash():
@@ -247,6 +266,16 @@ def test_packing(spark, docs, none, sf):
     assert pieces.groupby("step_group").tier.nunique().max() == 1
 
 
+def test_step_groups_are_equal_over_all_tasks(spark, sf):
+    """Of each length one group at most falls short, in however many tasks the pieces were made."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    rows = packing.pack_documents(table, step_tokens=16 * 2048)
+    pieces = check_packing(rows.collect(), {r.doc_id: r.text for r in table.collect()})
+    assert pieces.step_group.notna().all() and pieces.sequence_id.map(lambda x: x >> 40).nunique() > 1
+    tokens = pieces.groupby("step_group").agg(tier=("tier", "first"), tiers=("tier", "nunique"), tokens=("length", "sum"))
+    assert (tokens.tiers == 1).all() and tokens.tokens.max() == 16 * 2048 and (tokens[tokens.tokens < 16 * 2048].groupby("tier").size() == 1).all()
+
+
 def test_language(spark, docs, none, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     trees = language.learn(table)
