@@ -111,8 +111,9 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
     no words and is taken zero times. A null source is a source of its own,
     last in order. Rows that agree in id, source and size are one unit with one
     outcome, so repeated rows agree; null ids are units of their own per source
-    and size. An empty table gives an empty one. The same rows give the same
-    result in any order or partitioning.
+    and size. Texts may be of any length, further columns are ignored, an empty
+    table gives an empty one. The same rows give the same result in any order or
+    partitioning.
     """
     sized = docs.select(F.col(id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size"))
     units = stored(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")), "units")
@@ -156,8 +157,17 @@ def mix_sources(docs: DataFrame, id: str = "doc_id", text: str = "text", source:
 
 
 def take_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns."""
-    taken = mix_sources(docs, id, text, source, **options).where("copies > 0").select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies").distinct()
-    row = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("r_id"), F.col(source).cast("string").alias("r_source"), count_words(F.col(text)).alias("r_size"))
-    kept = row.join(taken, F.expr("r_id <=> m_id AND r_source <=> m_source AND r_size = m_size"))
+    """The rows of ``docs`` as often as the mix takes them, with their own columns.
+
+    Nulls, repeats, ties and empty tables as in ``mix_sources``; texts may be of
+    any length, and columns may have any names. Copies are looked up by id and
+    source in a written table, which Spark broadcasts while it is small; words
+    are counted again only where rows share both and differ in size.
+    """
+    mix = mix_sources(docs, id, text, source, **options).select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
+    mix = stored(mix.distinct(), "mix")
+    alike = not mix.groupBy("m_id", "m_source").count().where("count > 1").isEmpty()
+    size = count_words(F.col(text)) if alike else F.lit(None).cast("long")
+    row = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("r_id"), F.col(source).cast("string").alias("r_source"), size.alias("r_size"))
+    kept = row.join(mix.where("copies > 0"), F.expr("r_id <=> m_id AND r_source <=> m_source" + (" AND r_size = m_size" if alike else "")))
     return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row.*")
