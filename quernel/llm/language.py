@@ -38,7 +38,7 @@ ORDER = 4
 #: Most bytes of trees that are broadcast together.
 BROADCAST_BYTES = 128 << 20
 #: Bytes scored at once.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 #: Languages whose trees are looked up together.
 _TOGETHER = 8
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -229,24 +229,6 @@ def shards(trees: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> list[lis
     return out
 
 
-def _scoring(sent):
-    """Appends the code lengths of a shard's languages to ``bits``; an empty list marks a text without a letter."""
-
-    def run(batches):
-        model = sent.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts, bits = part.column("text").to_pylist(), part.column("bits").to_pylist()
-                at = [i for i, t in enumerate(texts) if t and has_letter(t)]
-                for i, row in zip(at, model.bits([texts[i] for i in at]).tolist() if at else (), strict=True):
-                    bits[i] = bits[i] + row
-                out = pa.array(bits, pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([out if n == "bits" else part.column(n) for n in part.schema.names], part.schema.names)
-
-    return run
-
-
 def predict(langs: list[str], bits: list[list[float]]) -> tuple[list[str], list[float]]:
     """Best language and its share of the total likelihood, for each text's code lengths; ``und`` for none."""
     names, scores = [UNKNOWN] * len(bits), [0.0] * len(bits)
@@ -260,11 +242,28 @@ def predict(langs: list[str], bits: list[list[float]]) -> tuple[list[str], list[
     return names, scores
 
 
-def _predicting(langs: list[str]):
+def _scoring(sent, langs: list[str] | None):
+    """Appends the code lengths of a shard's languages to ``bits`` (empty for a text without a letter).
+
+    With ``langs``, the languages of all shards, this is the last one: the
+    prediction comes out and the texts stay behind.
+    """
+
     def run(batches):
+        model = sent.value
         for batch in batches:
-            names, scores = predict(langs, batch.column("bits").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts, bits = part.column("text").to_pylist(), part.column("bits").to_pylist()
+                at = [i for i, t in enumerate(texts) if t and has_letter(t)] if model is not None else []
+                for i, row in zip(at, model.bits([texts[i] for i in at]).tolist() if at else (), strict=True):
+                    bits[i] = bits[i] + row
+                if langs is None:
+                    out = pa.array(bits, pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([out if n == "bits" else part.column(n) for n in part.schema.names], part.schema.names)
+                else:
+                    names, scores = predict(langs, bits)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
     return run
 
@@ -274,16 +273,15 @@ def identify(docs: DataFrame, trees: DataFrame, id: str = "doc_id", text: str =
 
     ``und`` with score zero where the text is null or has no letter, or nothing
     was learned. Equal code lengths go to the language first in order. Ids may
-    be null or repeat, texts of any length are scored whole in blocks of 1 MB,
+    be null or repeat, texts of any length are scored whole in blocks of 256 KB,
     further columns are ignored, an empty table gives an empty one.
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id).alias("id"), held_out(F.col(id)).alias("held_out"), F.col(text).cast("binary").alias("text"), F.array().cast("array<double>").alias("bits"))
     kind, parts = rows.schema["id"].dataType.simpleString(), shards(trees, broadcast_bytes)
-    for i, langs in enumerate(parts):
-        sent = spark.sparkContext.broadcast(load(trees, langs))  # its size is checked above
-        rows = rows.mapInArrow(_scoring(sent), rows.schema)
-        if i < len(parts) - 1:  # one shard's trees in a worker at a time
-            rows = stored(rows, "language-bits")
     every = [x for part in parts for x in part]
-    return rows.drop("text").mapInArrow(_predicting(every), f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id)
+    send = lambda langs: spark.sparkContext.broadcast(load(trees, langs))  # noqa: E731 (its size is checked above)
+    for langs in parts[:-1]:  # one shard's trees in a worker at a time
+        rows = stored(rows.mapInArrow(_scoring(send(langs), None), rows.schema), "language-bits")
+    out = rows.mapInArrow(_scoring(send(parts[-1] if parts else []), every), f"id {kind}, held_out boolean, lang_pred string, score double")
+    return out.withColumnRenamed("id", id)
