@@ -1,9 +1,11 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quernel.llm import quality
+from quernel.llm.common import stored
 
 
 def test_stages_do_their_work(spark, sf):
@@ -46,5 +48,39 @@ def test_stages_do_their_work(spark, sf):
     assert (np.log2(pieces.groupby("sequence_id").length.sum()) % 1 == 0).all()
 
 
-def test_run(spark, sf):
-    assert P.run(spark, sf).count() > 0
+def test_run_is_its_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES:
+        docs = stored(stage(spark, docs, sf), name)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    want, got = (sorted(map(tuple, df.groupBy("doc_id", "doc_tokens").agg(F.sum("length")).collect())) for df in (docs, P.run(spark, sf)))
+    assert got == want and set(columns) <= set(docs.columns)
+
+
+LINE = "A line that many documents hold, word by word"
+_WORD = iter([a + b + c for a in ("ba", "lo", "mi", "tu") for b in ("ner", "vil", "sor", "ten", "ral") for c in ("a", "ing", "ed", "ous", "ly", "er", "al", "ic", "en", "um", "is", "o")])
+PROSE = " ".join(f"The {next(_WORD)} of the {next(_WORD)} was {next(_WORD)} and {next(_WORD)} to {next(_WORD)} that have been with it." for _ in range(24))
+ROWS = [
+    (1, PROSE, "a"), (1, PROSE, "a"), (1, PROSE[::-1].replace(".", " the of and"), "a"), (2, PROSE + "\n" + LINE, "b"), (3, None, "a"), (4, "", None), (5, " \n", "a"), (6, LINE, "b"), (7, f"x\n{LINE}\n{LINE}", None),
+    (None, PROSE + "\n" + LINE, None), (None, None, None), (8, " ".join(f"the long text of word{i} and that is" for i in range(30_000)), "c"),
+]
+CLASH = ("lines", "row", "node", "row_id", "n_lines", "copies", "m_id", "id", "u", "kept")
+
+
+def test_stages_take_edge_rows(spark, sf):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    for name, stage in P.STAGES[:-1]:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, sf)
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert all(r[c] == f"own {c}" for r in rows for c in CLASH) and (df is docs) == bool(rows), name
+    kept = {(r.doc_id, r.text) for r in P.quality_rules(spark, docs, sf).collect()}
+    assert (1, PROSE) in kept and not {i for i, t in kept} & {3, 4, 5}
+    near = P.dedup_documents(spark, docs, sf).collect()
+    assert sum(r.text == PROSE for r in near) == 1 and sum(r.doc_id == 1 for r in near) == 2 and sum(not (r.text or "").strip() for r in near) == 1
+    lines = P.dedup_lines(spark, docs, sf).collect()
+    assert sum((r.text or "").count(LINE) for r in lines if r.doc_id is not None) == 2 and sum(r.text is None for r in lines) == 2
+    pieces = P.pack(spark, docs, sf).toPandas()
+    assert pieces.length.sum() == pieces[pieces.start == 0].doc_tokens.sum() and len(pieces[pieces.start == 0]) == len(ROWS)
+    assert P.pack(spark, docs.limit(0), sf).count() == 0
