@@ -65,10 +65,16 @@ AGENTS = (
 _BAD = "invalid collect payload"
 TWISTS = {
     0: ("", " trailing", _BAD), 1: (',"properties":{"a":1e999}', "", _BAD), 2: (',"event_time":"2024-01-01"', "", _BAD), 3: (',"event_time":5', "", _BAD), 4: (',"session_id":7', "", _BAD),
-    5: (',"properties":[1]', "", _BAD), 6: (',"properties":{"":1}', "", "properties: contains empty property key"), 7: (',"properties":{"a b":1}', "", "properties.a b: key contains unsupported characters"),
-    8: (',"user_properties":{"x":{"y":1}}', "", "user_properties.x: has unsupported value type"), 9: (',"event_time":"<late>"', "", "event_time: too far in the future"), 10: (',"event_time":"<zoned>"', "", None),
+    5: (',"properties":[1]', "", _BAD), 6: (',"properties":{"":1}', "", "properties: contains empty property key"), 7: (
+        ',"properties":{"a b":1}', "", "properties.a b: key contains unsupported characters",
+    ),
+    8: (
+        ',"user_properties":{"x":{"y":1}}', "", "user_properties.x: has unsupported value type",
+    ), 9: (',"event_time":"<late>"', "", "event_time: too far in the future"), 10: (',"event_time":"<zoned>"', "", None),
     11: ("", "", "method not allowed"), 14: ("", "{}", _BAD), 15: (',"session_id":"-"', "", "session_id: contains unsupported characters"), 16: (',"visit_id":null', "", None),
-    17: (',"properties":{' + ",".join(f'"k{i}":{i}' for i in range(65)) + "}", "", "properties: has too many entries"), 18: (',"properties":{"s":"' + "x" * 2049 + '"}', "", "properties.s: string value is too long"),
+    17: (
+        ',"properties":{' + ",".join(f'"k{i}":{i}' for i in range(65)) + "}", "", "properties: has too many entries",
+    ), 18: (',"properties":{"s":"' + "x" * 2049 + '"}', "", "properties.s: string value is too long"),
     19: (',"properties":{"s":"' + "x" * 2048 + '"}', "", None), 20: (',"event_time":"0001-01-01T00:00:00Z"', "", None), 21: ("", ',{"a":1}', _BAD), 22: ("", " \\n", None), 23: (',"event_time":"2024-02-30T00:00:00Z"', "", _BAD),
     24: (',"event_time":"2024-01-01T00:00:00"', "", _BAD), 25: ("", "]", _BAD), 26: ("", "}", _BAD), 27: (',"user_properties":"x"', "", _BAD), 28: (',"source":null', "", None),
 }
@@ -102,7 +108,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("event_id").alias("n"), _by_id({12: F.lit("null"), 13: F.lit("")}, 64, usual).alias("raw"), F.when(F.col("event_id") % 64 == 11, "GET").otherwise("POST").alias("method"),
         _by_id({i: F.lit(f"\t{a} ") for i, a in enumerate(AGENTS)}, 8, F.lit("")).alias("user_agent"), F.lit(None).cast("string").alias("referer"),
-        F.when(user % 4 == 0, F.concat(F.lit(" 10.1.2."), user % 200, F.lit(":443, 198.51.100.7"))).when(user % 4 == 1, "[2001:DB8:0::2]:80").when(user % 4 == 2, "nonsense").alias("forwarded_for"),
+        F.when(
+            user % 4 == 0, F.concat(F.lit(" 10.1.2."), user % 200, F.lit(":443, 198.51.100.7")),
+        ).when(user % 4 == 1, "[2001:DB8:0::2]:80").when(user % 4 == 2, "nonsense").alias("forwarded_for"),
         F.when(user % 8 < 6, F.concat(F.lit("203.0.113."), user % 200)).otherwise(F.lit("300.1.1.1")).alias("real_ip"), F.lit("192.0.2.1:5000").alias("peer"), received.alias("received_at"),
     )
 
@@ -121,11 +129,21 @@ REQUESTS_SQL = f"""req AS (
 
 #: Messages with a twist, by id modulo 32: a regular expression, what stands in its place, and the error (None: none).
 MESSAGE_TWISTS = {
-    0: (r"\z", " {}", "malformed payload"), 1: (r"\z", "x", "malformed payload"), 2: ('"tenant_id":"tenant_1"', '"tenant_id":5', "malformed payload"), 3: ('"tenant_id":"tenant_1"', '"tenant_id":null', "tenant_id is required"),
-    4: ('"event_time":"[^"]*"', '"event_time":"nonsense"', "malformed payload"), 5: ('"event_time":"[^"]*"', '"event_time":5', "malformed payload"), 6: ('"event_time":"[^"]*"', '"event_time":"2024-01-01"', "malformed payload"),
-    7: ('"k":', '"x":1e999,"k":', "malformed payload"), 8: ('"k":', '"":1,"k":', "property name is required"), 9: ('"k":', '"x":[1],"k":', "property event.x has unsupported value type"),
-    10: ('"score":', '"":0,"score":', "property name is required"), 11: ('"event_time":"[^"]*","received_at":"[^"]*"', '"event_time":null', "property observed time is required"), 12: ('"id":"[^"]*"', '"id":""', "event_id is required"),
-    13: ('"user_properties":', '"user_properties":7,"was":', "malformed payload"), 14: (r"\A", "[", "malformed payload"), 15: (r"\z", "\n\t", None), 16: ('"event_time":"[^"]*"', '"event_time":null', None),
+    0: (r"\z", " {}", "malformed payload"), 1: (r"\z", "x", "malformed payload"), 2: ('"tenant_id":"tenant_1"', '"tenant_id":5', "malformed payload"), 3: (
+        '"tenant_id":"tenant_1"', '"tenant_id":null', "tenant_id is required",
+    ),
+    4: ('"event_time":"[^"]*"', '"event_time":"nonsense"', "malformed payload"), 5: ('"event_time":"[^"]*"', '"event_time":5', "malformed payload"), 6: (
+        '"event_time":"[^"]*"', '"event_time":"2024-01-01"', "malformed payload",
+    ),
+    7: ('"k":', '"x":1e999,"k":', "malformed payload"), 8: ('"k":', '"":1,"k":', "property name is required"), 9: (
+        '"k":', '"x":[1],"k":', "property event.x has unsupported value type",
+    ),
+    10: ('"score":', '"":0,"score":', "property name is required"), 11: (
+        '"event_time":"[^"]*","received_at":"[^"]*"', '"event_time":null', "property observed time is required",
+    ), 12: ('"id":"[^"]*"', '"id":""', "event_id is required"),
+    13: (
+        '"user_properties":', '"user_properties":7,"was":', "malformed payload",
+    ), 14: (r"\A", "[", "malformed payload"), 15: (r"\z", "\n\t", None), 16: ('"event_time":"[^"]*"', '"event_time":null', None),
     17: ('"id":"[^"]*"', '"event":"gone"', "event_id is required"), 18: ('"score":', '"y":{"a":1},"score":', "property user.y has unsupported value type"),
 }
 

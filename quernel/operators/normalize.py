@@ -14,7 +14,10 @@ from quernel.operators.payload import computed, kind, read, text_of, time_of
 
 MAX_ENTRIES = 64
 #: JSON name of each text field, in protocol order, and its column.
-FIELDS = {"id": "event_id", "tenant_id": "tenant_id", "project_id": "project_id", "source_id": "source_id", "source_type": "source_type", "event_name": "event_name", "distinct_id": "distinct_id", "session_id": "session_id", "visit_id": "visit_id", "source": "source"}
+FIELDS = {
+    "id": "event_id", "tenant_id": "tenant_id", "project_id": "project_id", "source_id": "source_id", "source_type": "source_type", "event_name": "event_name",
+    "distinct_id": "distinct_id", "session_id": "session_id", "visit_id": "visit_id", "source": "source",
+}
 BAGS = ("properties", "user_properties")
 _OPTIONAL = ("session_id", "visit_id")
 

@@ -26,7 +26,9 @@ def unflattenable(of: Callable[[str], Column] = _entries) -> Column:
     def error(scope: str, bag: str) -> Column:
         bad = F.filter(of(bag), lambda e: e["kind"].isin("OBJECT", "ARRAY"))
         first = F.array_min(F.transform(bad, lambda e: e["key"]))
-        return F.when(of(bag).isNull(), F.lit(f"{bag} is not an object")).when(first.isNotNull(), F.concat(F.lit(f"property {scope}."), first, F.lit(" has unsupported value type")))
+        return F.when(of(bag).isNull(), F.lit(f"{bag} is not an object")).when(
+            first.isNotNull(), F.concat(F.lit(f"property {scope}."), first, F.lit(" has unsupported value type")),
+        )
 
     nameless = reduce(Column.__or__, [F.exists(of(b), lambda e: e["key"] == "") for b in _BAGS.values()])
     timeless = F.col("event_time").isNull() & F.col("received_at").isNull() & (reduce(Column.__add__, [F.size(of(b)) for b in _BAGS.values()]) > 0)
@@ -44,7 +46,10 @@ def flatten(events: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<scope:string,name:string,kind:string,value:variant>>")
 
     def named(scope: str, bag: str) -> Column:
-        return F.coalesce(F.transform(_entries(bag), lambda e: F.struct(F.lit(str(scope)).alias("scope"), e["key"].alias("name"), e["kind"].alias("kind"), e["value"].alias("value"))), none)
+        return F.coalesce(
+            F.transform(_entries(bag), lambda e: F.struct(F.lit(str(scope)).alias("scope"), e["key"].alias("name"), e["kind"].alias("kind"), e["value"].alias("value"))),
+            none,
+        )
 
     rows = F.concat(*(named(s, b) for s, b in _BAGS.items()))
     base = [c for c in EVENT_COLUMNS if c not in _BAGS.values()]
@@ -60,7 +65,10 @@ def flatten(events: DataFrame) -> DataFrame:
 
 def record_error() -> Column:
     """Why a property row can't be written and catalogued, or null."""
-    needed = {"event_id": "event_id", "tenant_id": "tenant_id", "project_id": "project_id", "source_id": "source_id", "property_scope": "property scope", "property_name": "property name", "property_type": "property value type"}
+    needed = {
+        "event_id": "event_id", "tenant_id": "tenant_id", "project_id": "project_id", "source_id": "source_id", "property_scope": "property scope",
+        "property_name": "property name", "property_type": "property value type",
+    }
     checks = [F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(f"{what} is required")) for c, what in needed.items()]
     return F.coalesce(*checks, F.when(F.coalesce("event_time", "received_at").isNull(), F.lit("property observed time is required")))
 
@@ -72,7 +80,9 @@ def entry_error() -> Column:
     return F.coalesce(
         *(missing(c, c) for c in ("tenant_id", "project_id", "source_id")), missing("property_scope", "property scope"),
         F.when(~F.col("property_scope").isin(*map(str, Scope)), F.lit("property scope must be event or user")), missing("property_name", "property name"),
-        missing("property_type", "property value type"), F.when(~F.col("property_type").isin(*map(str, ValueType)), F.lit("property value type must be null, string, number, or bool")),
+        missing("property_type", "property value type"), F.when(
+            ~F.col("property_type").isin(*map(str, ValueType)), F.lit("property value type must be null, string, number, or bool"),
+        ),
         *(F.when(F.col(c).isNull(), F.lit(f"{c} is required")) for c in ("first_seen_at", "last_seen_at")),
     )
 

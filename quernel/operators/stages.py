@@ -63,7 +63,10 @@ def visit_ids(salt: str, window: timedelta = timedelta(minutes=30)) -> Stage:
     return stage
 
 
-def enrich(user_agent: bool = False, referrer: bool = False, ip_salt: str | None = None, families: bool = False, geo: Callable[[DataFrame], dict[str, Column]] | None = None, parse_agent: Callable[[Column], dict[str, Column]] | None = None) -> Stage:
+def enrich(
+    user_agent: bool = False, referrer: bool = False, ip_salt: str | None = None, families: bool = False,
+    geo: Callable[[DataFrame], dict[str, Column]] | None = None, parse_agent: Callable[[Column], dict[str, Column]] | None = None,
+) -> Stage:
     """Adds derived client properties to the bag: a key that is there wins, a full bag takes no more."""
     if ip_salt == "":
         raise ValueError("client enrichment hash salt is required when IP hashing is enabled")
@@ -91,7 +94,10 @@ def enrich(user_agent: bool = False, referrer: bool = False, ip_salt: str | None
         taken = F.slice(fresh, F.lit(1), F.greatest(F.lit(0), F.lit(MAX_ENTRIES) - F.size(keys)))
         # The bag's own text stays as it is; new members are appended to it.
         own = F.trim(F.coalesce(F.col("properties"), F.lit("{}")))
-        more = F.array_join(F.transform(taken, lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e["key"].alias("k"))), r"\A\{\"k\":(.*)\}\z", 1), F.lit(":"), F.regexp_extract(F.to_json(F.struct(e["value"].alias("v"))), r"\A\{\"v\":(.*)\}\z", 1))), ",")
+        more = F.array_join(
+            F.transform(taken, lambda e: F.concat(F.regexp_extract(F.to_json(F.struct(e["key"].alias("k"))), r"\A\{\"k\":(.*)\}\z", 1), F.lit(":"), F.regexp_extract(F.to_json(F.struct(e["value"].alias("v"))), r"\A\{\"v\":(.*)\}\z", 1))),
+            ",",
+        )
         grown = F.when(F.size(keys) == 0, F.concat(F.lit("{"), more, F.lit("}"))).otherwise(F.concat(F.expr("substr(trim(properties), 1, length(trim(properties)) - 1)"), F.lit(","), more, F.lit("}")))
         return df.withColumn("properties", F.when(F.size(taken) == 0, own).otherwise(grown))
 
@@ -106,7 +112,9 @@ def filter_traffic(bot_tokens: tuple[str, ...] = (), cidrs: tuple[str, ...] = ()
         bot = contains_any(F.lower(_client(df, "user_agent")), tokens)
         inside = internal_ip(_client(df, "ip"), cidrs, ips)
         old = F.col("filter_reason") if "filter_reason" in df.columns else F.lit(None).cast("string")
-        return df.withColumn("_inside", inside).withColumn("filter_reason", F.coalesce(old, F.when(bot, "bot user agent"), F.when(F.col("_inside"), "internal ip"))).drop("_inside")
+        return df.withColumn("_inside", inside).withColumn(
+            "filter_reason", F.coalesce(old, F.when(bot, "bot user agent"), F.when(F.col("_inside"), "internal ip")),
+        ).drop("_inside")
 
     return stage
 

@@ -192,5 +192,9 @@ class QueryBuilder:
     def _evidence(self, family: Family, query: EventListQuery, limit: int) -> Evidence:
         window = int((query.until - query.since).total_seconds()) if query.since and query.until else 0
         scalars = len(query.filters) + sum(bool(x) for x in (query.event_name, query.distinct_id, query.since, query.until))
-        return Evidence(family, limit, query.offset, query.since is not None, query.until is not None, max(0, window), scalars, tuple(PropertyFilterEvidence(str(f.scope), f.name.strip(), str(f.value_type), str(f.op)) for f in query.property_filters), str(query.sort_field or SortField.EVENT_TIME), str(query.sort_direction or Direction.DESC))
+        return Evidence(
+            family, limit, query.offset, query.since is not None, query.until is not None, max(0, window), scalars,
+            tuple(PropertyFilterEvidence(str(f.scope), f.name.strip(), str(f.value_type), str(f.op)) for f in query.property_filters),
+            str(query.sort_field or SortField.EVENT_TIME), str(query.sort_direction or Direction.DESC),
+        )
 

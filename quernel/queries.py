@@ -138,7 +138,10 @@ _listed("events_sort_received_asc", EventListQuery(**_SOURCE, sort_field="receiv
 _listed("events_sort_name_asc", EventListQuery(**_SOURCE, sort_field="event_name", sort_direction="asc", limit=200))
 _listed("events_scalar_eq", EventListQuery(**_SOURCE, filters=(EventFilter("source_type", "eq", "web"),)))
 _listed("events_scalar_neq", EventListQuery(**_SOURCE, filters=(EventFilter("event_name", "neq", "click"),)))
-_listed("events_scalar_combo", EventListQuery(**_SOURCE, event_name="view", filters=(EventFilter("source_type", "eq", "web"), EventFilter("distinct_id", "neq", "visitor_4")), limit=5000))
+_listed(
+    "events_scalar_combo",
+    EventListQuery(**_SOURCE, event_name="view", filters=(EventFilter("source_type", "eq", "web"), EventFilter("distinct_id", "neq", "visitor_4")), limit=5000),
+)
 _listed("events_prop_string_eq", EventListQuery(**_SOURCE, **_WEEK, property_filters=(_prop("event", "tag", "string", "eq", "g3"),), limit=1000))
 _listed("events_prop_number_neq", EventListQuery(**_SOURCE, **_WEEK, property_filters=(_prop("event", "k", "number", "neq", 10.0),), limit=1000))
 _listed("events_prop_bool_eq", EventListQuery(**_SOURCE, **_WEEK, property_filters=(_prop("event", "even", "bool", "eq", True),), limit=1000))
@@ -159,13 +162,21 @@ _listed("store_goal_count_props", EventCountQuery(**_SOURCE, **_WEEK, property_f
 _listed("store_goal_count_empty", EventCountQuery(**(_SOURCE | {"source_id": "source_none"})), stored=True)
 _listed("store_realtime", RealtimeQuery(**_SOURCE, since=_DAY + timedelta(days=3), limit=20), stored=True)
 _EAST = timezone(timedelta(hours=9, minutes=30))
-_listed("store_events_zoned_bounds", EventListQuery(**_SOURCE, since=datetime(2024, 1, 2, 9, 30, tzinfo=_EAST), until=datetime(2024, 1, 4, 9, 30, tzinfo=_EAST), event_name="purchase", limit=1000), stored=True)
+_listed(
+    "store_events_zoned_bounds",
+    EventListQuery(**_SOURCE, since=datetime(2024, 1, 2, 9, 30, tzinfo=_EAST), until=datetime(2024, 1, 4, 9, 30, tzinfo=_EAST), event_name="purchase", limit=1000),
+    stored=True,
+)
 
 # The reader benchmark's scenarios, over stored tables.
 _START, _N = datetime.fromisoformat(fixtures.BENCH_START), 10_000
 _AT = lambda s: _START + timedelta(seconds=s)
 _SCALAR = EventListQuery(**_SOURCE, event_name="signup_clicked", distinct_id="visitor_1", limit=50)
-_PROPS = dataclasses.replace(_SCALAR, filters=(EventFilter("session_id", "eq", "session_1"),), property_filters=(_prop("event", "button", "string", "eq", "hero"), _prop("user", "score", "number", "eq", 43.5), _prop("event", "is_paid", "bool", "eq", True)), sort_field="received_at", sort_direction="desc")
+_PROPS = dataclasses.replace(
+    _SCALAR, filters=(EventFilter("session_id", "eq", "session_1"),),
+    property_filters=(_prop("event", "button", "string", "eq", "hero"), _prop("user", "score", "number", "eq", 43.5), _prop("event", "is_paid", "bool", "eq", True)),
+    sort_field="received_at", sort_direction="desc",
+)
 _listed("bench_realtime_recent", RealtimeQuery(**_SOURCE, since=_AT(_N - 300), limit=50), _N)
 _listed("bench_realtime_wide", RealtimeQuery(**_SOURCE, since=_AT(-60), limit=50), _N)
 _listed("bench_scalar_recent", dataclasses.replace(_SCALAR, since=_AT(_N - 5000), until=_AT(_N)), _N)
@@ -294,19 +305,46 @@ def _guarded(spec) -> str | None:
 _E = EventListQuery
 _K = lambda **more: PropertyFilter(**({"scope": "event", "name": "k", "value_type": "number", "op": "eq", "value": 1} | more))
 _GUARDS = (
-    (_E(**_SOURCE), None), (_E(**_SOURCE, offset=-1), "invalid event query: offset must be non-negative"), (_E(**_SOURCE, since=_DAY, until=_DAY), "invalid event query: from must be before to"),
-    (_E(**_SOURCE, since=datetime(2024, 1, 1, 2, tzinfo=_EAST), until=_DAY - timedelta(hours=7)), None), (_E(**_SOURCE, since=datetime(2024, 1, 1, 2, tzinfo=_EAST), until=_DAY - timedelta(hours=7, minutes=30)), "invalid event query: from must be before to"),
-    (_E(**_SOURCE, filters=(EventFilter("source_type", "eq", "web"),) * 21), "invalid event query: too many event filters: 21 > 20"), (_E(**_SOURCE, filters=(EventFilter("source_type", "eq", "web"),) * 20), None),
-    (_E(**_SOURCE, property_filters=(_K(),)), "invalid event query: property filters require bounded from and to"), (_E(**_SOURCE, since=_DAY, until=_DAY + timedelta(days=7), property_filters=(_K(),)), None),
-    (_E(**_SOURCE, since=_DAY, until=_DAY + timedelta(days=7, seconds=1), property_filters=(_K(),)), "invalid event query: property-filter time window 168h0m1s exceeds max 168h0m0s"),
-    (_E(tenant_id="t"), "invalid event query: project_id is required"), (_E(**_SOURCE, filters=(EventFilter("path", "eq", "x"),)), 'invalid event query: unsupported events filter field "path"'),
-    (_E(**_SOURCE, filters=(EventFilter("source_type", "gt", "x"),)), 'invalid event query: unsupported events filter operator "gt"'), (_E(**_SOURCE, filters=(EventFilter("source_type", "eq", ""),)), "invalid event query: event filter 0 value is required"),
-    (_E(**_SOURCE, **_WEEK, property_filters=(_K(name=" "),)), "invalid event query: property filter 0 property name is required"), (_E(**_SOURCE, **_WEEK, property_filters=(_K(scope="page"),)), 'invalid event query: property filter 0 unsupported property scope "page"'),
-    (_E(**_SOURCE, **_WEEK, property_filters=(_K(name="secret"),)), "invalid event query: property filter 0 event.secret is not allowlisted"), (_E(**_SOURCE, **_WEEK, property_filters=(_K(name=" k "),)), None),
-    (_E(**_SOURCE, **_WEEK, property_filters=(_K(name="secret"),), allowed_properties=(("event", " secret "), ("page", "x"))), None), (_E(**_SOURCE, **_WEEK, property_filters=(_K(value_type="null", op="neq"),)), "invalid event query: property filter 0 null only supports eq"),
-    (_E(**_SOURCE, **_WEEK, property_filters=(_K(value_type="date"),)), 'invalid event query: property filter 0 unsupported property value type "date"'), (_E(**_SOURCE, **_WEEK, property_filters=(_K(value="1"),)), 'invalid event query: property filter 0 value is no "number"'),
-    (_E(**_SOURCE, **_WEEK, property_filters=(_K(value=None),)), 'invalid event query: property filter 0 value is no "number"'), (_E(**_SOURCE, **_WEEK, property_filters=(_K(value=True),)), 'invalid event query: property filter 0 value is no "number"'),
-    (_E(**_SOURCE, sort_field="visit_id"), 'invalid event query: unsupported events sort field "visit_id"'), (_E(**_SOURCE, sort_direction="up"), 'invalid event query: unsupported events sort direction "up"'),
+    (_E(**_SOURCE), None), (_E(**_SOURCE, offset=-1), "invalid event query: offset must be non-negative"), (
+        _E(**_SOURCE, since=_DAY, until=_DAY), "invalid event query: from must be before to",
+    ),
+    (_E(**_SOURCE, since=datetime(2024, 1, 1, 2, tzinfo=_EAST), until=_DAY - timedelta(hours=7)), None), (
+        _E(**_SOURCE, since=datetime(2024, 1, 1, 2, tzinfo=_EAST), until=_DAY - timedelta(hours=7, minutes=30)), "invalid event query: from must be before to",
+    ),
+    (
+        _E(**_SOURCE, filters=(EventFilter("source_type", "eq", "web"),) * 21), "invalid event query: too many event filters: 21 > 20",
+    ), (_E(**_SOURCE, filters=(EventFilter("source_type", "eq", "web"),) * 20), None),
+    (
+        _E(**_SOURCE, property_filters=(_K(),)), "invalid event query: property filters require bounded from and to",
+    ), (_E(**_SOURCE, since=_DAY, until=_DAY + timedelta(days=7), property_filters=(_K(),)), None),
+    (
+        _E(**_SOURCE, since=_DAY, until=_DAY + timedelta(days=7, seconds=1), property_filters=(_K(),)),
+        "invalid event query: property-filter time window 168h0m1s exceeds max 168h0m0s",
+    ),
+    (_E(tenant_id="t"), "invalid event query: project_id is required"), (
+        _E(**_SOURCE, filters=(EventFilter("path", "eq", "x"),)), 'invalid event query: unsupported events filter field "path"',
+    ),
+    (
+        _E(**_SOURCE, filters=(EventFilter("source_type", "gt", "x"),)), 'invalid event query: unsupported events filter operator "gt"',
+    ), (_E(**_SOURCE, filters=(EventFilter("source_type", "eq", ""),)), "invalid event query: event filter 0 value is required"),
+    (_E(**_SOURCE, **_WEEK, property_filters=(_K(name=" "),)), "invalid event query: property filter 0 property name is required"), (
+        _E(**_SOURCE, **_WEEK, property_filters=(_K(scope="page"),)), 'invalid event query: property filter 0 unsupported property scope "page"',
+    ),
+    (
+        _E(**_SOURCE, **_WEEK, property_filters=(_K(name="secret"),)), "invalid event query: property filter 0 event.secret is not allowlisted",
+    ), (_E(**_SOURCE, **_WEEK, property_filters=(_K(name=" k "),)), None),
+    (_E(**_SOURCE, **_WEEK, property_filters=(_K(name="secret"),), allowed_properties=(("event", " secret "), ("page", "x"))), None), (
+        _E(**_SOURCE, **_WEEK, property_filters=(_K(value_type="null", op="neq"),)), "invalid event query: property filter 0 null only supports eq",
+    ),
+    (
+        _E(**_SOURCE, **_WEEK, property_filters=(_K(value_type="date"),)), 'invalid event query: property filter 0 unsupported property value type "date"',
+    ), (_E(**_SOURCE, **_WEEK, property_filters=(_K(value="1"),)), 'invalid event query: property filter 0 value is no "number"'),
+    (
+        _E(**_SOURCE, **_WEEK, property_filters=(_K(value=None),)), 'invalid event query: property filter 0 value is no "number"',
+    ), (_E(**_SOURCE, **_WEEK, property_filters=(_K(value=True),)), 'invalid event query: property filter 0 value is no "number"'),
+    (
+        _E(**_SOURCE, sort_field="visit_id"), 'invalid event query: unsupported events sort field "visit_id"',
+    ), (_E(**_SOURCE, sort_direction="up"), 'invalid event query: unsupported events sort direction "up"'),
 )
 
 

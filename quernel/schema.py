@@ -17,10 +17,16 @@ def _struct(**columns: T.DataType) -> T.StructType:
 
 _IDS = dict.fromkeys(("event_id", "tenant_id", "project_id", "source_id", "source_type", "event_name", "distinct_id", "session_id", "visit_id"), _S)
 EVENTS = _struct(**_IDS, event_time=_T, received_at=_T, properties=_S, user_properties=_S, source=_S)
-PROPERTIES = _struct(**_IDS, event_time=_T, received_at=_T, source=_S, property_scope=_S, property_name=_S, property_type=_S, string_value=_S, number_value=T.DoubleType(), bool_value=T.BooleanType())
+PROPERTIES = _struct(
+    **_IDS, event_time=_T, received_at=_T, source=_S, property_scope=_S, property_name=_S, property_type=_S, string_value=_S, number_value=T.DoubleType(),
+    bool_value=T.BooleanType(),
+)
 CATALOG = _struct(tenant_id=_S, project_id=_S, source_id=_S, property_scope=_S, property_name=_S, property_type=_S, first_seen_at=_T, last_seen_at=_T)
 STATUS = _struct(tenant_id=_S, project_id=_S, source_id=_S, event_id=_S, status=_S, attempt=T.IntegerType(), last_error=_S, received_at=_T, created_at=_T, updated_at=_T)
-DEAD_LETTERS = _struct(envelope=_S, raw=_S, original_topic=_S, original_partition=T.IntegerType(), original_offset=T.LongType(), original_key=_S, consumer_group=_S, consumer_id=_S, attempt=T.IntegerType(), error=_S, failed_at=_T)
+DEAD_LETTERS = _struct(
+    envelope=_S, raw=_S, original_topic=_S, original_partition=T.IntegerType(), original_offset=T.LongType(), original_key=_S, consumer_group=_S,
+    consumer_id=_S, attempt=T.IntegerType(), error=_S, failed_at=_T,
+)
 
 EVENT_COLUMNS = EVENTS.fieldNames()
 #: The key that makes an event one event.

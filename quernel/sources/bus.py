@@ -27,7 +27,9 @@ def collect_landing(spark: SparkSession, path: str, trust_proxy: bool = False, s
     df = reader.json(path)
     return df.select(
         "raw", "received_at", F.when(F.coalesce(F.col("method"), F.lit("POST")) != "POST", 405).alias("method_status"),
-        trimmed(F.col("user_agent")).alias("user_agent"), trimmed(F.col("referer")).alias("referrer"), client_ip(F.col("forwarded_for"), F.col("real_ip"), F.col("peer"), trust_proxy).alias("ip"),
+        trimmed(F.col("user_agent")).alias("user_agent"), trimmed(F.col("referer")).alias("referrer"), client_ip(
+            F.col("forwarded_for"), F.col("real_ip"), F.col("peer"), trust_proxy,
+        ).alias("ip"),
     )
 
 
@@ -117,7 +119,10 @@ class KafkaOptions:
         out["kafka.security.protocol"] = ("SASL_" if self.sasl else "") + ("SSL" if self.tls else "PLAINTEXT")
         if self.sasl:
             quote = lambda x: x.replace("\\", "\\\\").replace('"', '\\"')
-            out |= {"kafka.sasl.mechanism": "PLAIN", "kafka.sasl.jaas.config": f'org.apache.kafka.common.security.plain.PlainLoginModule required username="{quote(self.sasl_username)}" password="{quote(self.sasl_password)}";'}
+            out |= {
+                "kafka.sasl.mechanism": "PLAIN",
+                "kafka.sasl.jaas.config": f'org.apache.kafka.common.security.plain.PlainLoginModule required username="{quote(self.sasl_username)}" password="{quote(self.sasl_password)}";',
+            }
         return out
 
     def reading(self) -> dict[str, str]:
@@ -125,7 +130,11 @@ class KafkaOptions:
         return self._common() | {"subscribe": self.topic, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(self.offsets_per_trigger)}
 
     def writing(self, dead: bool = False) -> dict[str, str]:
-        out = self._common() | {"topic": self.dead_letter_topic if dead else self.topic, "kafka.acks": {"all": "all", "leader": "1", "none": "0"}[self.acks], "kafka.retries": str(self.retries), "kafka.retry.backoff.ms": str(self.producer_backoff_ms), "kafka.enable.idempotence": str(self.idempotent).lower()}
+        out = self._common() | {
+            "topic": self.dead_letter_topic if dead else self.topic, "kafka.acks": {"all": "all", "leader": "1", "none": "0"}[self.acks],
+            "kafka.retries": str(self.retries), "kafka.retry.backoff.ms": str(self.producer_backoff_ms),
+            "kafka.enable.idempotence": str(self.idempotent).lower(),
+        }
         if self.idempotent:
             out["kafka.max.in.flight.requests.per.connection"] = "1"
         if self.batch_bytes:

@@ -34,7 +34,10 @@ PROPERTY_WRITES = frozenset({FAILED})
 def claims(status: DataFrame, incoming: DataFrame, reclaimable: frozenset[str] = EVENT_WRITES) -> DataFrame:
     """One row per incoming key: the key, ``received_at``, ``claim``, and the old attempt, status and creation time."""
     keys = incoming.groupBy(*EVENT_KEY).agg(F.min("received_at").alias("received_at"))
-    old = status.select(*(F.col(c).alias(f"s_{c}") for c in EVENT_KEY), F.col("status").alias("old_status"), F.col("attempt").alias("s_attempt"), F.col("created_at").alias("old_created"))
+    old = status.select(
+        *(F.col(c).alias(f"s_{c}") for c in EVENT_KEY), F.col("status").alias("old_status"), F.col("attempt").alias("s_attempt"),
+        F.col("created_at").alias("old_created"),
+    )
     joined = keys.join(old, [keys[c] == old[f"s_{c}"] for c in EVENT_KEY], "left")
     was = F.col("old_status")
     claim = F.when(was.isNull(), Claim.NEW).when(was == INSERTED, Claim.SKIP).when(was.isin(*reclaimable), Claim.AGAIN).otherwise(Claim.REFUSED)
@@ -49,7 +52,10 @@ def refusal(what: str = "property indexing") -> Column:
 def started(claimed: DataFrame, now: Column) -> DataFrame:
     """Rows of the new and repeated claims: in progress, one attempt more, no error."""
     begun = claimed.where(F.col("claim").isin(Claim.NEW, Claim.AGAIN))
-    columns = {"status": F.lit(PROCESSING), "attempt": (F.col("attempt") + 1).cast("int"), "last_error": F.lit(""), "created_at": F.coalesce("old_created", now), "updated_at": now}
+    columns = {
+        "status": F.lit(PROCESSING), "attempt": (F.col("attempt") + 1).cast("int"), "last_error": F.lit(""), "created_at": F.coalesce("old_created", now),
+        "updated_at": now,
+    }
     return begun.withColumns(columns).select(*STATUS.fieldNames())
 
 

@@ -71,7 +71,10 @@ def test_quotes_in_values_survive(spark):
 
 
 def test_configuration_errors():
-    for bad in (lambda: session_ids(""), lambda: visit_ids("s", timedelta(seconds=59)), lambda: enrich(ip_salt=""), lambda: X.internal_ip(F.lit(""), cidrs=("x",)), lambda: X.internal_ip(F.lit(""), ips=("x",))):
+    for bad in (
+        lambda: session_ids(""), lambda: visit_ids("s", timedelta(seconds=59)), lambda: enrich(ip_salt=""), lambda: X.internal_ip(F.lit(""), cidrs=("x",)),
+        lambda: X.internal_ip(F.lit(""), ips=("x",)),
+    ):
         with pytest.raises(ValueError):
             bad()
 
@@ -101,11 +104,17 @@ def test_cut_bytes_keeps_characters_whole(spark):
 
 def test_flatten_order_and_types(spark):
     cols = "event_id tenant_id project_id source_id source_type event_name distinct_id session_id visit_id".split()
-    df = spark.createDataFrame([("e", '{"score":42.5,"button":"hero","beta":true,"n":null}', '{"plan":"free"}'), ("f", "{}", "{}"), ("g", '{"a":{"b":1}}', "{}")], "event_id string, properties string, user_properties string")
+    df = spark.createDataFrame(
+        [("e", '{"score":42.5,"button":"hero","beta":true,"n":null}', '{"plan":"free"}'), ("f", "{}", "{}"), ("g", '{"a":{"b":1}}', "{}")],
+        "event_id string, properties string, user_properties string",
+    )
     df = df.withColumns({c: F.lit("x") for c in cols[1:]} | {c: F.lit("2026-05-01 00:00:00").cast("timestamp_ntz") for c in ("event_time", "received_at")} | {"source": F.lit("")})
     assert [r[0] for r in df.select(unflattenable()).collect()] == [None, None, "property event.a has unsupported value type"]
     rows = flatten(df.where("event_id <> 'g'")).orderBy("property_scope", "property_name").collect()
-    assert [(r.property_scope, r.property_name, r.property_type, r.string_value, r.number_value, r.bool_value) for r in rows] == [("event", "beta", "bool", "", 0.0, True), ("event", "button", "string", "hero", 0.0, False), ("event", "n", "null", "", 0.0, False), ("event", "score", "number", "", 42.5, False), ("user", "plan", "string", "free", 0.0, False)]
+    assert [(r.property_scope, r.property_name, r.property_type, r.string_value, r.number_value, r.bool_value) for r in rows] == [
+        ("event", "beta", "bool", "", 0.0, True), ("event", "button", "string", "hero", 0.0, False), ("event", "n", "null", "", 0.0, False),
+        ("event", "score", "number", "", 42.5, False), ("user", "plan", "string", "free", 0.0, False),
+    ]
 
 
 def test_catalog_queries_are_checked():
@@ -115,7 +124,10 @@ def test_catalog_queries_are_checked():
 
 
 def test_event_key(spark):
-    df = spark.createDataFrame([("t", "p", "s", "e", "n"), ("", "", "", "e", "n"), ("", "", "", "", "n")], "tenant_id string, project_id string, source_id string, event_id string, event_name string")
+    df = spark.createDataFrame(
+        [("t", "p", "s", "e", "n"), ("", "", "", "e", "n"), ("", "", "", "", "n")],
+        "tenant_id string, project_id string, source_id string, event_id string, event_name string",
+    )
     assert [r[0] for r in df.select(event_key()).collect()] == ["t:p:s", "e", "n"]
 
 
@@ -123,6 +135,9 @@ def test_kafka_options():
     o = KafkaOptions((" a:1 ", ""), idempotent=True, sasl=True, sasl_username="u", sasl_password='p"x')
     assert o.writing()["kafka.max.in.flight.requests.per.connection"] == "1" and o.reading()["startingOffsets"] == "earliest"
     assert r"password=\"p\\\"x" not in repr(o) and 'p"x' not in repr(o) and "PLAIN" in o.writing(dead=True)["kafka.sasl.mechanism"]
-    for bad in ({"brokers": ()}, {"acks": "some"}, {"retries": -1}, {"idempotent": True, "acks": "leader"}, {"idempotent": True, "retries": 0}, {"sasl": True}, {"sasl": True, "sasl_username": "u"}, {"sasl": True, "sasl_mechanism": "scram"}, {"linger_ms": -1}):
+    for bad in (
+        {"brokers": ()}, {"acks": "some"}, {"retries": -1}, {"idempotent": True, "acks": "leader"}, {"idempotent": True, "retries": 0}, {"sasl": True},
+        {"sasl": True, "sasl_username": "u"}, {"sasl": True, "sasl_mechanism": "scram"}, {"linger_ms": -1},
+    ):
         with pytest.raises(ValueError):
             KafkaOptions(**({"brokers": ("a",)} | bad))

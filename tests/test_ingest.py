@@ -63,7 +63,10 @@ def test_handler_is_retried_then_dead(spark, tmp_path):
 
 
 def test_earliest_offset_wins(spark):
-    df = spark.createDataFrame([("t", "p", "s", "e", 1, 5, "late"), ("t", "p", "s", "e", 1, 2, "early")], "tenant_id string, project_id string, source_id string, event_id string, partition int, offset long, source string")
+    df = spark.createDataFrame(
+        [("t", "p", "s", "e", 1, 5, "late"), ("t", "p", "s", "e", 1, 2, "early")],
+        "tenant_id string, project_id string, source_id string, event_id string, partition int, offset long, source string",
+    )
     assert [r.source for r in first_of_each(df).collect()] == ["early"]
 
 
@@ -84,18 +87,24 @@ def test_stream_restarts_where_it_stopped(spark, sf, tmp_path):
 
 def _status(spark, rows):
     now = F.lit("2026-05-01 00:00:00").cast("timestamp_ntz")
-    df = spark.createDataFrame([("t", "p", "s", i, st, a) for i, st, a in rows], "tenant_id string, project_id string, source_id string, event_id string, status string, attempt int")
+    df = spark.createDataFrame(
+        [("t", "p", "s", i, st, a) for i, st, a in rows], "tenant_id string, project_id string, source_id string, event_id string, status string, attempt int",
+    )
     return df.withColumns({"last_error": F.lit("old"), "received_at": now, "created_at": now, "updated_at": now}).select(*S.STATUS.fieldNames()), now
 
 
 def test_status_transitions(spark):
     table, now = _status(spark, [("done", "inserted", 1), ("bad", "failed", 2), ("open", "processing", 1)])
-    incoming = spark.createDataFrame([("t", "p", "s", i) for i in ("done", "bad", "open", "new")], "tenant_id string, project_id string, source_id string, event_id string").withColumn("received_at", now)
+    incoming = spark.createDataFrame(
+        [("t", "p", "s", i) for i in ("done", "bad", "open", "new")], "tenant_id string, project_id string, source_id string, event_id string",
+    ).withColumn("received_at", now)
     claimed = G.claims(table, incoming)
     assert {r.event_id: r.claim for r in claimed.collect()} == {"done": "skip", "bad": "again", "open": "again", "new": "new"}
     assert {r.event_id: r.claim for r in G.claims(table, incoming, G.PROPERTY_WRITES).collect()} == {"done": "skip", "bad": "again", "open": "refused", "new": "new"}
     begun = G.started(claimed, now)
-    assert {r.event_id: (r.status, r.attempt, r.last_error) for r in begun.collect()} == {"bad": ("processing", 3, ""), "open": ("processing", 2, ""), "new": ("processing", 1, "")}
+    assert {r.event_id: (r.status, r.attempt, r.last_error) for r in begun.collect()} == {
+        "bad": ("processing", 3, ""), "open": ("processing", 2, ""), "new": ("processing", 1, ""),
+    }
     table = G.applied(table, begun)
     assert {r.event_id: (r.status, r.attempt) for r in table.collect()} == {"done": ("inserted", 1), "bad": ("processing", 3), "open": ("processing", 2), "new": ("processing", 1)}
     table = G.applied(table, G.committed(table.where("event_id = 'bad'"), now))

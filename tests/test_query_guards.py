@@ -54,7 +54,10 @@ def test_evidence_has_no_values(spark, sf):
     from quernel.operators.properties import flatten
 
     events = fixtures.envelopes(spark, sf)
-    plan = BUILDER.events(replace(BASE, event_name="secret-name", filters=(EventFilter("visit_id", "neq", "secret-visit"),), property_filters=(replace(PROP, name=" button "),), limit=5000, offset=3), events, flatten(events))
+    plan = BUILDER.events(
+        replace(BASE, event_name="secret-name", filters=(EventFilter("visit_id", "neq", "secret-visit"),), property_filters=(replace(PROP, name=" button "),), limit=5000, offset=3),
+        events, flatten(events),
+    )
     e = plan.evidence
     assert (e.family, e.effective_limit, e.offset, e.scalar_filters, e.window_seconds, e.uses_property_table) == (Family.EVENTS, 1000, 3, 4, 604800, True)
     assert e.property_filters[0].name == "button" and "secret" not in repr(e) and "hero" not in repr(e)
