@@ -35,7 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
             F.struct(F.col("node").alias("node"), F.least("grand", "m").alias("offer"), F.col("root").alias("old")),
             F.struct(F.col("root").alias("node"), F.col("m").alias("offer"), old.alias("old")),
         )))
-        new, new_path = stored_at(offers.groupBy("node").agg(F.min("offer").alias("offer"), F.max("old").alias("old")).select("node", F.least("offer", "old").alias("root"), (F.col("offer") < F.col("old")).alias("moved")), "parents")
+        new, new_path = stored_at(
+            offers.groupBy("node").agg(F.min("offer").alias("offer"), F.max("old").alias("old")).select("node", F.least("offer", "old").alias("root"), (F.col("offer") < F.col("old")).alias("moved")),
+            "parents",
+        )
         delete(edges.sparkSession, path)
         found, path = new.select("node", "root"), new_path
         if new.where("moved").isEmpty():

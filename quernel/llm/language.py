@@ -263,7 +263,10 @@ def _scoring(sent, langs: list[str] | None):
                     yield pa.RecordBatch.from_arrays([out if n == "bits" else part.column(n) for n in part.schema.names], part.schema.names)
                 else:
                     names, scores = predict(langs, bits)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "held_out", "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                        ["id", "held_out", "lang_pred", "score"],
+                    )
 
     return run
 

@@ -181,7 +181,10 @@ def _counting(min_chars: int, min_docs: int, shards: int):
             probes = np.zeros(len(h1), np.int64)
             first = np.unique(shard, return_index=True)
             probes[first[1]] = n[first[0]]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(probes)], ["shard", "h1", "h2", "doc", "probes"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(probes)],
+                ["shard", "h1", "h2", "doc", "probes"],
+            )
 
         release()
         parts, size = [], 0
@@ -217,7 +220,10 @@ def _building(min_docs: int):
             most = count >= min_docs
             arrays = Shard(h1[at][most], h2[at][most], count[most], doc[at][most])
             blob = pickle.dumps(arrays, protocol=5) if most.any() else None
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([int(probes.sum())], pa.int64()), pa.array([int(most.sum())], pa.int64())], ["shard", "blob", "probes", "n_keys"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int32()), pa.array([blob], pa.binary()), pa.array([int(probes.sum())], pa.int64()), pa.array([int(most.sum())], pa.int64())],
+                ["shard", "blob", "probes", "n_keys"],
+            )
 
         now, parts = None, []
         for batch in batches:
@@ -318,7 +324,10 @@ def _sending(shards: int, min_chars: int):
                     docs += [doc] * len(own)
                 if keys:
                     h1, h2 = _hashes(keys)
-                    yield pa.RecordBatch.from_arrays([pa.array((h1 % np.uint64(shards)).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(docs, pa.int64())], ["shard", "h1", "h2", "doc"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array((h1 % np.uint64(shards)).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(docs, pa.int64())],
+                        ["shard", "h1", "h2", "doc"],
+                    )
 
     return run
 
@@ -387,7 +396,9 @@ def _joined(rows: DataFrame, index: DataFrame, shards: int, min_chars: int) -> D
     place = lambda shard, copy: F.concat_ws("/", shard, copy)
     named = rows.where("id IS NOT NULL")
     probes = named.where("text IS NOT NULL").select("id", "text").mapInArrow(_sending(shards, min_chars), "shard int, h1 long, h2 long, doc long")
-    probes = probes.join(places, "shard").select(place(F.col("shard"), F.pmod(F.xxhash64("doc", "h1"), F.col("copies"))).alias("place"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc")
+    probes = probes.join(places, "shard").select(
+        place(F.col("shard"), F.pmod(F.xxhash64("doc", "h1"), F.col("copies"))).alias("place"), F.lit(None).cast("binary").alias("blob"), "h1", "h2", "doc",
+    )
     null = F.lit(None).cast("long")
     arrays = index.where("blob IS NOT NULL").select(F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "shard", "blob")
     arrays = arrays.select(place(F.col("shard"), F.col("copy")).alias("place"), "blob", null.alias("h1"), null.alias("h2"), null.alias("doc"))
@@ -404,7 +415,10 @@ def _edited_rows(docs: DataFrame, id: str, text: str, min_chars: int, min_docs:
     spark, shards = docs.sparkSession, _shards(docs)
     index = stored(build_index(docs, id, text, min_chars, min_docs, shards), "line-index")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.lit(None).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *others).alias("row"), F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"),
+        F.lit(None).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"),
+    )
     groups = _groups(index, broadcast_bytes)
     if len(groups) > passes:
         out = _joined(rows, index, shards, min_chars)
@@ -418,7 +432,10 @@ def _edited_rows(docs: DataFrame, id: str, text: str, min_chars: int, min_docs:
     return out.withColumn("text", F.col("text").cast("string"))
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, passes: int = PASSES) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES,
+    passes: int = PASSES,
+) -> DataFrame:
     """Drops lines whose key many documents hold, except in the largest id that holds it.
 
     Returns all columns of ``docs`` with the text edited, and a struct ``lines``

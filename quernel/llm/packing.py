@@ -170,7 +170,10 @@ def _regrouped(open_: DataFrame, step_tokens: int) -> DataFrame:
     return dealt.withColumn("step_group", group).select(*(x.split()[0] for x in SCHEMA.split(", ")))
 
 
-def pack_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", model: str = MODEL, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, path_of=vocabulary) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", model: str = MODEL, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS,
+    path_of=vocabulary,
+) -> DataFrame:
     """One row per piece, columns as in ``SCHEMA``.
 
     A document's ids are its text's, then ``END_ID``; each id of each row lies

@@ -68,7 +68,9 @@ def matches(text: Column, pattern: str, kind: int, value_group: int = 0) -> Colu
         starts = _starts(F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(full)), length), F.transform(full, length))
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else full
         zipped = F.arrays_zip(starts.alias("s"), full.alias("f"), values.alias("v"))
-        return F.transform(zipped, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), x["v"].alias("value"))).cast(span)
+        return F.transform(
+            zipped, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("start"), (x["s"] + F.length(x["f"])).alias("end"), x["v"].alias("value")),
+        ).cast(span)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda full: F.when(F.size(full) == 0, F.array().cast(span)).otherwise(found(full)))
 

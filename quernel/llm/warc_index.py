@@ -53,7 +53,10 @@ _UNIQUE = [*_ORDER, "run", "at"]
 
 def with_roles(pages: DataFrame, id: str, url: str, body: str, captured_at: Column, files: int, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, captured_at, payload, digest, size, refers_to (null: a response), dealt to ``files`` partitions."""
-    own = pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), captured_at.cast("timestamp").alias("captured_at"), F.coalesce(F.col(body).cast("string"), F.lit("")).alias("payload"))
+    own = pages.select(
+        F.col(id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), captured_at.cast("timestamp").alias("captured_at"),
+        F.coalesce(F.col(body).cast("string"), F.lit("")).alias("payload"),
+    )
     own = own.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     large = own.where(F.col("size") >= min_revisit).select("page_id", "digest")
     first = large.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND last IS NOT NULL").drop("n")
@@ -267,7 +270,9 @@ def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return dealt.mapInArrow(_merging, _MERGED)
 
 
-def archive_and_index(pages: DataFrame, captured_at: Column, id: str = "page_id", url: str = "url", body: str = "html", min_revisit: int = MIN_REVISIT, path: str | None = None) -> DataFrame:
+def archive_and_index(
+    pages: DataFrame, captured_at: Column, id: str = "page_id", url: str = "url", body: str = "html", min_revisit: int = MIN_REVISIT, path: str | None = None,
+) -> DataFrame:
     """Writes all pages to archives, reads them back and merges their index.
 
     One row per row of ``pages``: page_id, payload_bytes, payload_digest,

@@ -14,7 +14,9 @@ from quernel.llm import language, line_dedup, mixing, packing, quality, secret_s
 LONG = "the quick brown fox of the hill and " * 2500
 LINE = "A line that many documents hold, word by word"
 TEXTS = [
-    (1, f"{LINE}\nown one", "en", "b", 1), (2, f"  {LINE.upper()}\t\nown two is the other", "en", "a", 2), (3, f"x\n{LINE}\n{LINE}", "de", "a", 3), (3, f"x\n{LINE}\n{LINE}", "de", "a", 3),
+    (1, f"{LINE}\nown one", "en", "b", 1), (
+        2, f"  {LINE.upper()}\t\nown two is the other", "en", "a", 2,
+    ), (3, f"x\n{LINE}\n{LINE}", "de", "a", 3), (3, f"x\n{LINE}\n{LINE}", "de", "a", 3),
     (4, None, "en", "a", 4), (5, "", None, "a", None), (6, LONG, "en", None, 6), (None, LINE, "en", "c", 7), (7, "üé 漢字 \x0b\x0c tail\n", "de", "b", 8), (8, "<|endoftext|> password = 'abcdef123'", None, None, 9), (None, None, None, None, None),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -161,11 +163,18 @@ def test_links_of_chains_and_clusters(spark):
 
 
 def test_secrets(spark, docs, none, same):
-    more = [(20, "api_key: Tok=abc AKIA" + "Q" * 16 + " and " + "0123456789abcdef" * 2, "en", "a", 0), (21, "SECRET = zz9-longer 漢 " + "Ab1" * 9, "en", "b", 0), (22, "token=" + "t" * 30 + " " + "Xy7" * 8, "en", "b", 0), (23, "token=" + "t" * 30 + " " + "Xy7" * 8, "en", "c", 0), (24, "token = a1; " * 700 + "passwd:hunter22", "en", "c", 0)]
+    more = [
+        (20, "api_key: Tok=abc AKIA" + "Q" * 16 + " and " + "0123456789abcdef" * 2, "en", "a", 0), (21, "SECRET = zz9-longer 漢 " + "Ab1" * 9, "en", "b", 0),
+        (22, "token=" + "t" * 30 + " " + "Xy7" * 8, "en", "b", 0), (23, "token=" + "t" * 30 + " " + "Xy7" * 8, "en", "c", 0),
+        (24, "token = a1; " * 700 + "passwd:hunter22", "en", "c", 0),
+    ]
     df = docs.select(*plain(spark).columns).unionByName(spark.createDataFrame(more, SCHEMA))
     frame = pd.concat([plain(spark), pd.DataFrame(more, columns=plain(spark).columns)]).astype({"doc_id": "Int64"})
     out = secret_scan.find_secrets(df)
-    same(out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_shared"), secret_scan.SQL, tables={"documents": frame})
+    same(
+        out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_shared"), secret_scan.SQL,
+        tables={"documents": frame},
+    )
     r = {x.doc_id: x for x in out.collect()}
     assert "owned:" in r[21].spans and "owned" not in r[22].spans and (r[21].n_live, r[22].n_shared) == (1, 1) and r[24].n_assign == 1
     assert secret_scan.find_secrets(none).count() == 0 and secret_scan.find_secrets(docs).count() == len(TEXTS)
@@ -340,7 +349,11 @@ def test_code_lengths_by_brute_force(order):
 def test_languages_of_other_scripts(spark):
     """Languages that share a script, and scripts of many bytes, are told apart by texts not learned from."""
     rng = np.random.default_rng(9)
-    letters = {"ru": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436", "uk": "\u0430\u0431\u0432\u0433\u0454\u0457\u0456", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "el": "\u03b1\u03b2\u03b3\u03b4\u03b5", "en": "abcdefgh", "th": "".join(map(chr, range(0x0E01, 0x0E2F)))}
+    letters = {
+        "ru": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436", "uk": "\u0430\u0431\u0432\u0433\u0454\u0457\u0456",
+        "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 400))), "el": "\u03b1\u03b2\u03b3\u03b4\u03b5", "en": "abcdefgh",
+        "th": "".join(map(chr, range(0x0E01, 0x0E2F))),
+    }
     word = lambda x: "".join(rng.choice(list(letters[x]), rng.integers(2, 7)))
     words = {x: [word(x) for _ in range(200)] for x in letters}
     rows = [(i, " ".join(rng.choice(words[x], 40)), x) for i in range(480) for x in [[*letters][i % len(letters)]]]
@@ -353,7 +366,10 @@ def test_languages_of_other_scripts(spark):
 def test_top_k(spark, same):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(130)]
-    rows += [(200, rows[20][1]), (201, rows[20][1]), (220, None), (240, []), (260, [float("nan")] + [0.0] * 7), (280, [None] + [0.0] * 7), (None, rows[0][1]), (300, [0.5, 0.25]), (301, [1.0, -1.0]), (40, rows[40][1]), (320, [3e38] * 8), (7, rows[7][1])]
+    rows += [
+        (200, rows[20][1]), (201, rows[20][1]), (220, None), (240, []), (260, [float("nan")] + [0.0] * 7), (280, [None] + [0.0] * 7), (None, rows[0][1]),
+        (300, [0.5, 0.25]), (301, [1.0, -1.0]), (40, rows[40][1]), (320, [3e38] * 8), (7, rows[7][1]),
+    ]
     frame = pd.DataFrame(rows[:132], columns=["vec_id", "embedding"])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("own") for c in ("id", "v", "dim", "cb", "rank", "score")})
     fine = df.where(F.col("vec_id").isin(*map(int, frame.vec_id))).dropDuplicates(["vec_id"])
@@ -395,7 +411,10 @@ def test_pivot_bounds_lose_nothing(lengths, near):
 
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 80
-    pages = [(1, "http://WWW.b.org/x?q=1", big), (2, "https://a.org:8080", big), (3, None, None), (4, "http://a.org/\r\nz", ""), (5, "http://a.org/", "small"), (6, "http://a.org/", "small"), (7, "x", big + "!"), (7, "x", big + "!"), (None, "http://a.org/", big), (8, "http://[bad", "y")]
+    pages = [
+        (1, "http://WWW.b.org/x?q=1", big), (2, "https://a.org:8080", big), (3, None, None), (4, "http://a.org/\r\nz", ""), (5, "http://a.org/", "small"),
+        (6, "http://a.org/", "small"), (7, "x", big + "!"), (7, "x", big + "!"), (None, "http://a.org/", big), (8, "http://[bad", "y"),
+    ]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("digest", "size", "payload", "captured_at", "last", "n")}).repartition(3)
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)))
     path = f"file://{tmp_path}/warc"
