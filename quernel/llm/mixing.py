@@ -161,13 +161,13 @@ def take_mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: st
 
     Nulls, repeats, ties and empty tables as in ``mix_sources``; texts may be of
     any length, and columns may have any names. Copies are looked up by id and
-    source in a written table, which Spark broadcasts while it is small; words
-    are counted again only where rows share both and differ in size.
+    source in a written table, by one shuffle of the rows at any size; words are
+    counted again only where rows share both and differ in size.
     """
     mix = mix_sources(docs, id, text, source, **options).select(F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "copies")
     mix = stored(mix.distinct(), "mix")
     alike = not mix.groupBy("m_id", "m_source").count().where("count > 1").isEmpty()
     size = count_words(F.col(text)) if alike else F.lit(None).cast("long")
     row = docs.select(F.struct("*").alias("row"), F.col(id).cast("long").alias("r_id"), F.col(source).cast("string").alias("r_source"), size.alias("r_size"))
-    kept = row.join(mix.where("copies > 0"), F.expr("r_id <=> m_id AND r_source <=> m_source" + (" AND r_size = m_size" if alike else "")))
+    kept = row.join(mix.where("copies > 0").hint("merge"), F.expr("r_id <=> m_id AND r_source <=> m_source" + (" AND r_size = m_size" if alike else "")))
     return kept.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("row.*")
