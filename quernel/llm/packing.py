@@ -51,9 +51,10 @@ class Packer:
         self.tiers, self.step_tokens, self.base = tiers, step_tokens, part << 40
         self.pools: dict[int, list] = {t: [] for t in tiers}
         self.made: dict[int, int] = {}
-        #: Rows of the sequences in the open step group of each length.
-        self.open: dict[int, list] = {}
-        self.n, self.rows = 0, []
+        #: Rows of the sequences in the open step group of each length, and their places in it.
+        self.open: dict[int, tuple[list, list]] = {}
+        #: Finished rows without the last two columns, and these.
+        self.n, self.rows, self.steps, self.places = 0, [], [], []
 
     def route(self, doc, ids: np.ndarray, start: int, length: int) -> None:
         """Whole windows of the longest tier leave at once; the rest goes to the tier that holds it."""
@@ -67,15 +68,21 @@ class Packer:
     def _emit(self, size: int, pieces: list) -> None:
         nth, each = self.made.get(size, 0), max(1, self.step_tokens // size)
         self.made[size] = nth + 1
-        held, offset = self.open.setdefault(size, []), 0
+        held, places = self.open.setdefault(size, ([], []))
+        offset, sequence = 0, self.base + self.n
         for doc, ids, start, length in pieces:
-            held.append((doc, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), self.base + self.n, offset, size, nth % each))
+            held.append((doc, start, length, zlib.crc32(ids[start : start + length].data), len(ids), sequence, offset, size))
             offset += length
+        places += [nth % each] * len(pieces)
         self.n += 1
         if (nth + 1) % each == 0:
-            step = self.base + (nth // each << 12) + size.bit_length()
-            self.rows += [(*row[:-1], step, None) for row in held]
-            self.open[size] = []
+            self._finish(held, [self.base + (nth // each << 12) + size.bit_length()] * len(held), [None] * len(held))
+            del self.open[size]
+
+    def _finish(self, rows: list, steps: list, places: list) -> None:
+        self.rows += rows
+        self.steps += steps
+        self.places += places
 
     def _next(self, gap: int):
         """A pool to fill ``gap`` from: the longest tier that surely fits, else the shortest with any."""
@@ -122,14 +129,14 @@ class Packer:
 
     def close(self) -> None:
         """Rows of open step groups get their place among the open ones (``nth``) instead of a group."""
-        for held in self.open.values():
-            self.rows += [(*row[:-1], None, row[-1]) for row in held]
+        for held, places in self.open.values():
+            self._finish(held, [None] * len(held), places)
         self.open = {}
 
     def taken(self):
         """The rows so far, as one batch."""
-        cols = list(zip(*self.rows, strict=True)) if self.rows else [[]] * 10
-        self.rows = []
+        cols = [*(zip(*self.rows, strict=True) if self.rows else [[]] * 8), self.steps, self.places]
+        self.rows, self.steps, self.places = [], [], []
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _MADE.split(", ")])
 
 
