@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,32 @@ def release() -> None:
         free()
 
 
+def trim() -> None:
+    """Gives freed memory of this process back to the system, where the C library has a way."""
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
+#: Rows of a batch of whole texts. Spark's own 10,000 take tens of MB, which the executor and its Python worker each hold more than once.
+TEXT_ROWS = 1024
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What runs inside sends Python at most ``rows`` rows at once, or fewer where the session says so; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, now = spark.conf.get(key, None), int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, now) if now > 0 else rows)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm.common import stored
-from quernel.llm.tokens import encoder, vocabulary
+from quernel.llm.common import short_batches, stored, trim
+from quernel.llm.tokens import CACHE, encoder, vocabulary
 
 MODEL = "byte_bpe_50k.json"
 TIERS = (2048, 1024, 512, 256)
@@ -140,7 +140,7 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _MADE.split(", ")])
 
 
-def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int):
+def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int, cache: int):
     def run(batches):
         enc = encoder(path_of(model))
         packer, held = Packer(tiers, TaskContext.get().partitionId(), step_tokens), 0
@@ -149,7 +149,7 @@ def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int):
             for a in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(a, _ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("id").to_pylist(), enc.token_ids(texts), strict=True):
+                for doc, ids in zip(part.column("id").to_pylist(), enc.token_ids(texts, cache), strict=True):
                     ids = np.concatenate([ids, end])
                     packer.route(doc, ids, 0, len(ids))
                     held += len(ids)
@@ -157,6 +157,7 @@ def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int):
                     packer.pack()
                     yield packer.taken()
                     held = 0
+                    trim()
         packer.pack(last=True)
         packer.close()
         if packer.rows:
@@ -179,7 +180,7 @@ def _regrouped(open_: DataFrame, step_tokens: int) -> DataFrame:
 
 def pack_documents(
     docs: DataFrame, id: str = "doc_id", text: str = "text", model: str = MODEL, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS,
-    path_of=vocabulary,
+    path_of=vocabulary, cache: int = CACHE,
 ) -> DataFrame:
     """One row per piece, columns as in ``SCHEMA``.
 
@@ -188,8 +189,10 @@ def pack_documents(
     the sequence's length, and step groups hold sequences of one length. Null
     ids stay null, repeated rows are packed each for themselves, texts may be
     of any length, further columns are ignored, an empty table gives an empty
-    one.
+    one. A worker remembers the ids of ``cache`` units, which takes memory and
+    saves time.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    made = stored(rows.mapInArrow(_packing(path_of, model, tiers, step_tokens), _MADE), "pieces")
+    with short_batches(docs.sparkSession):
+        made = stored(rows.mapInArrow(_packing(path_of, model, tiers, step_tokens, cache), _MADE), "pieces")
     return made.where("nth IS NULL").drop("nth").unionByName(_regrouped(made.where("nth IS NOT NULL"), step_tokens))

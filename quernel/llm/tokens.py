@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from quernel.llm.common import WORKER_CACHES
+from quernel.llm.common import WORKER_CACHES, trim
 
 #: The characters with Unicode's White_Space property (fixed values), as a class body.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -93,7 +93,7 @@ class Encoder:
         units[:] = own + rest
         return b"".join(blocks), ends
 
-    def _units(self, texts: list[str], cache: dict, values, first: dict) -> tuple[list, set[str]]:
+    def _units(self, texts: list[str], cache: dict, values, first: dict, most: int) -> tuple[list, set[str]]:
         """Units of each text (None: encode it whole), all of them in ``cache`` from now on; those that must leave it afterwards."""
         units = [UNIT.findall(t) if self.by_unit and not any(s in t for s in self.special) else None for t in texts]
         seen: set[str] = set()
@@ -101,7 +101,7 @@ class Encoder:
             if u:
                 seen.update(u)
         missing = seen.difference(cache)
-        if len(cache) + len(missing) > CACHE or not cache:
+        if len(cache) + len(missing) > most or not cache:
             cache.clear()
             cache.update(first)
             missing = seen.difference(cache)
@@ -116,22 +116,23 @@ class Encoder:
                 cache[u] = cache[u[:-1]] + cache[u[-1]]
         return units, {x for x in missing if len(x) > LONGEST}
 
-    def _each(self, texts: list[str], cache: dict, values, put, of_whole, first: dict) -> list:
-        units, leave = self._units(texts, cache, values, first)
+    def _each(self, texts: list[str], cache: dict, values, put, of_whole, first: dict, most: int) -> list:
+        units, leave = self._units(texts, cache, values, first, most)
         whole = iter(self.encode([t for t, u in zip(texts, units, strict=True) if u is None]) if None in units else ())
         out = [of_whole(next(whole)) if u is None else put(map(cache.__getitem__, u)) for u in units]
         for x in leave:
             del cache[x]
         return out
 
-    def token_ids(self, texts: list[str]) -> list[np.ndarray]:
+    def token_ids(self, texts: list[str], most: int = CACHE) -> list[np.ndarray]:
+        """Remembers ``most`` units, or those of ``texts`` where they are more."""
         cut = lambda ids, ends: [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        got = self._each(texts, self.ids, cut, b"".join, lambda ids: np.array(ids, "<u4").tobytes(), {})
+        got = self._each(texts, self.ids, cut, b"".join, lambda ids: np.array(ids, "<u4").tobytes(), {}, most)
         return [np.frombuffer(x, "<u4") for x in got]
 
     def token_counts(self, texts: list[str], frequent: dict[str, int] | None = None) -> list[int]:
         """``frequent`` (unit to count) always stays in the worker's cache, which learns the rest."""
-        return self._each(texts, self.lengths, lambda ids, ends: np.diff([0, *ends]).tolist(), sum, len, frequent or {})
+        return self._each(texts, self.lengths, lambda ids, ends: np.diff([0, *ends]).tolist(), sum, len, frequent or {}, CACHE)
 
 
 @lru_cache(maxsize=4)
@@ -140,4 +141,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-WORKER_CACHES.append(encoder.cache_clear)
+def _forget() -> None:
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        trim()
+
+
+WORKER_CACHES.append(_forget)

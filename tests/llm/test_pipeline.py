@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quernel.llm import quality
-from quernel.llm.common import stored
+from quernel.llm.common import short_batches, stored
 
 
 def test_stages_do_their_work(spark, sf):
@@ -84,3 +84,38 @@ def test_stages_take_edge_rows(spark, sf):
     pieces = P.pack(spark, docs, sf).toPandas()
     assert pieces.length.sum() == pieces[pieces.start == 0].doc_tokens.sum() and len(pieces[pieces.start == 0]) == len(ROWS)
     assert P.pack(spark, docs.limit(0), sf).count() == 0
+
+
+def test_packing_is_bounded_in_memory(spark, monkeypatch):
+    """Short batches of texts, and no more units remembered than the stage asks for, whatever the texts."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from quernel.llm import packing, similar, tokens
+
+    key, asked = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+
+    def seen(df, name):
+        asked[name] = int(spark.conf.get(key))
+        return stored(df, name)
+
+    for module in (packing, similar):
+        monkeypatch.setattr(module, "stored", seen)
+    before = spark.conf.get(key)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    assert P.pack(spark, docs, "").count() >= 3000 and P.dedup_documents(spark, docs, "").count() == 3000
+    assert asked["pieces"] <= 1024 and asked["distinct"] <= 1024 and spark.conf.get(key) == before
+    rows = docs.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    with short_batches(spark, 100):
+        assert max(r.n for r in rows.collect()) == 100
+
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{i * 300 + j}x" for j in range(300)) for i in range(1000)]
+    enc, sizes = tokens.encoder(packing.vocabulary(packing.MODEL)), []
+    whole = enc.token_ids
+    monkeypatch.setattr(enc, "token_ids", lambda *a: (whole(*a), sizes.append(len(enc.ids)))[0])
+    run = packing._packing(packing.vocabulary, packing.MODEL, packing.TIERS, packing.STEP_TOKENS, 50_000)
+    pieces = [n for b in run([pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": texts})]) for n in b.column("length").to_pylist()]
+    assert max(sizes) <= 50_000 and sum(pieces) == sum(len(x) + 1 for x in tokens.Encoder(packing.vocabulary(packing.MODEL)).token_ids(texts))
+    tokens.encoder.cache_clear()
