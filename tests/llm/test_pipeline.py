@@ -119,3 +119,14 @@ def test_packing_is_bounded_in_memory(spark, monkeypatch):
     pieces = [n for b in run([pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": texts})]) for n in b.column("length").to_pylist()]
     assert max(sizes) <= 50_000 and sum(pieces) == sum(len(x) + 1 for x in tokens.Encoder(packing.vocabulary(packing.MODEL)).token_ids(texts))
     tokens.encoder.cache_clear()
+
+
+def test_near_copies_leave_what_follows(spark, tmp_path, monkeypatch):
+    """Of two near copies the smaller id alone is mixed and packed; with the stage left out both are."""
+    text = lambda i, own: " ".join(f"The ba{i}x{k} of the lo{i}x{k} was mi{i}x{k or own} and tu{i}x{k} that have been with it." for k in range(24))
+    rows = [(i, text(i % 12, "near" if i >= 12 else "first"), "en", "a", 0) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    ids = lambda: {r.doc_id for r in P.run(spark, str(tmp_path)).select("doc_id").collect()}
+    assert ids() == set(range(12))
+    monkeypatch.setattr(P, "STAGES", [(n, (lambda s, docs, d: docs) if n == "simhash_dedup" else f) for n, f in P.STAGES])
+    assert ids() == set(range(24))
