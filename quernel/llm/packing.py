@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ END_ID = 1
 STEP_TOKENS = 64 * 2048
 #: Tokens that a round gathers before it packs.
 ROUND = 1 << 21
-_ROWS = 128
+#: Bytes of texts that are encoded in one go, but for one text at least.
+_BYTES = 1 << 22
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 _MADE = SCHEMA + ", nth long"
 
@@ -140,16 +142,22 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in _MADE.split(", ")])
 
 
+def _parts(batch: pa.RecordBatch):
+    """The batch in slices of about ``_BYTES`` of text."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // _BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _packing(path_of, model: str, tiers: tuple[int, ...], step_tokens: int, cache: int):
     def run(batches):
         enc = encoder(path_of(model))
         packer, held = Packer(tiers, TaskContext.get().partitionId(), step_tokens), 0
         end = np.array([END_ID], "<u4")
         for batch in batches:
-            for a in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(a, _ROWS)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("id").to_pylist(), enc.token_ids(texts, cache), strict=True):
+            for part in _parts(batch):
+                for doc, ids in zip(part.column("id").to_pylist(), enc.token_ids(part.column("text"), cache), strict=True):
                     ids = np.concatenate([ids, end])
                     packer.route(doc, ids, 0, len(ids))
                     held += len(ids)
@@ -189,10 +197,10 @@ def pack_documents(
     the sequence's length, and step groups hold sequences of one length. Null
     ids stay null, repeated rows are packed each for themselves, texts may be
     of any length, further columns are ignored, an empty table gives an empty
-    one. A worker remembers the ids of ``cache`` units, which takes memory and
-    saves time.
+    one. A worker remembers the ids of ``cache`` pieces of words at most,
+    which takes memory and saves time.
     """
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     with short_batches(docs.sparkSession):
         made = stored(rows.mapInArrow(_packing(path_of, model, tiers, step_tokens, cache), _MADE), "pieces")
     return made.where("nth IS NULL").drop("nth").unionByName(_regrouped(made.where("nth IS NOT NULL"), step_tokens))

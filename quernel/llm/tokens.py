@@ -5,6 +5,10 @@ the start of such a piece or fills it, so the text can be cut wherever white
 space follows something else, and each unit (white space, then the rest up to
 the next white space) encoded on its own and remembered. Texts that hold an
 added token's string, and tokenizers of another build, are encoded whole.
+
+Ids are found by smaller pieces, cut over the bytes of many texts at once: also
+where an ASCII or Latin-1 letter, a digit and another ASCII character meet.
+There are fewer different ones, and only these ever become Python objects.
 """
 
 from __future__ import annotations
@@ -13,8 +17,11 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quernel.llm.common import WORKER_CACHES, trim
 
@@ -22,13 +29,50 @@ from quernel.llm.common import WORKER_CACHES, trim
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WHITE = frozenset(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Units that a worker remembers before it starts over.
+#: Units, and pieces, that a worker remembers before it starts over.
 CACHE = 900_000
-#: Longer units are encoded each time.
+#: Longer units and pieces are encoded each time.
 LONGEST = 64
 #: Units that are encoded in one go.
 _JOIN = 1 << 14
 
+#: Classes of bytes. Of white space beyond ASCII the first byte is a lead, the others are trails; marks are other ASCII characters, the rest is never told apart.
+_SPACE, _BREAK, _TRAIL, _LEAD, _LETTER, _DIGIT, _MARK, _QUOTE, _REST = range(9)
+_CLASS = np.full(256, _REST, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[[*range(48, 58)]] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[9:14], _CLASS[32], _CLASS[39] = _BREAK, _SPACE, _QUOTE
+#: Whether a piece may begin between two bytes. Never after a quote, which takes letters with it ('s, 'll), but before white space.
+_CUT = np.zeros((9, 9), bool)
+_CUT[_LETTER:, [_SPACE, _BREAK, _LEAD]] = True
+_CUT[_BREAK, _LETTER:] = True
+_CUT[_LETTER, [_DIGIT, _MARK, _QUOTE]] = _CUT[_DIGIT, [_LETTER, _MARK, _QUOTE]] = _CUT[_MARK, [_LETTER, _DIGIT]] = True
+_CUT = _CUT.ravel()
+_WIDE = np.array([ord(c) for c in sorted(_WHITE) if ord(c) > 127])
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts begin: ``data`` has their UTF-8, ``offsets`` where each one begins and the last one ends."""
+    kinds = _CLASS[data]
+    at = np.flatnonzero(data == 0xC3)
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]  # of U+00C0 to U+00FF all but two are letters
+    kinds[at] = kinds[at + 1] = _LETTER
+    at = np.flatnonzero(data == 0xC2)
+    at = at[np.isin(data[at + 1], _WIDE[_WIDE < 256])]  # from U+0080 to U+00BF the second byte is the code point
+    kinds[at], kinds[at + 1] = _LEAD, _TRAIL
+    at = np.flatnonzero((data >= 0xE1) & (data <= 0xE3))
+    at = at[np.isin((data[at] & 15).astype(np.int64) << 12 | (data[at + 1] & 63).astype(np.int64) << 6 | data[at + 2] & 63, _WIDE)]
+    kinds[at], kinds[at + 1], kinds[at + 2] = _LEAD, _TRAIL, _TRAIL
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = _CUT[kinds[:-1] * np.uint8(9) + kinds[1:]]
+    # The last of several white characters stands alone or with what follows, unless the text ends there.
+    last = np.flatnonzero(kinds[1:-1] <= _BREAK) + 1
+    last = last[(kinds[last - 1] <= _TRAIL) & (kinds[last + 1] >= _LETTER)]
+    cut[last[~np.isin(last + 1, offsets)]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1])
+
 
 def vocabulary(name: str) -> str:
     """The path of a public vocabulary file on this machine."""
@@ -67,8 +111,13 @@ class Encoder:
                 self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
                 for piece, i in vocab.items():
                     self.n_bytes[i] = len(piece)  # a byte-level piece has a character per byte
-        self.ids: dict[str, bytes] = {}
         self.lengths: dict[str, int] = {}
+        self._forget_pieces()
+
+    def _forget_pieces(self) -> None:
+        #: Pieces by number; the ids of them all, and by number where a piece's begin and how many they are.
+        self.ids: dict[bytes, int] = {}
+        self.known = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _encode_units(self, units: list[str]) -> tuple[bytes, list[int]]:
         """Ids of all units, and where each one ends. Joined units are told apart by the bytes of their pieces."""
@@ -93,7 +142,7 @@ class Encoder:
         units[:] = own + rest
         return b"".join(blocks), ends
 
-    def _units(self, texts: list[str], cache: dict, values, first: dict, most: int) -> tuple[list, set[str]]:
+    def _units(self, texts: list[str], cache: dict[str, int], first: dict[str, int]) -> tuple[list, set[str]]:
         """Units of each text (None: encode it whole), all of them in ``cache`` from now on; those that must leave it afterwards."""
         units = [UNIT.findall(t) if self.by_unit and not any(s in t for s in self.special) else None for t in texts]
         seen: set[str] = set()
@@ -101,7 +150,7 @@ class Encoder:
             if u:
                 seen.update(u)
         missing = seen.difference(cache)
-        if len(cache) + len(missing) > most or not cache:
+        if len(cache) + len(missing) > CACHE or not cache:
             cache.clear()
             cache.update(first)
             missing = seen.difference(cache)
@@ -110,29 +159,87 @@ class Encoder:
             marked = {u for u in missing if u[-1] in ",." and u[-2:-1].isascii() and u[-2:-1].isalpha()}
             todo = list(({u[:-1] for u in marked} | {",", "."} | (missing - marked)).difference(cache))
             if todo:
-                ids, ends = self._encode_units(todo)
-                cache.update(zip(todo, values(ids, ends), strict=True))
+                _, ends = self._encode_units(todo)
+                cache.update(zip(todo, np.diff([0, *ends]).tolist(), strict=True))
             for u in marked:
                 cache[u] = cache[u[:-1]] + cache[u[-1]]
         return units, {x for x in missing if len(x) > LONGEST}
 
-    def _each(self, texts: list[str], cache: dict, values, put, of_whole, first: dict, most: int) -> list:
-        units, leave = self._units(texts, cache, values, first, most)
-        whole = iter(self.encode([t for t, u in zip(texts, units, strict=True) if u is None]) if None in units else ())
-        out = [of_whole(next(whole)) if u is None else put(map(cache.__getitem__, u)) for u in units]
-        for x in leave:
-            del cache[x]
-        return out
+    def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces, where each one's begin and how many they are."""
+        texts = [p.decode() for p in pieces]
+        # A line feed before what doesn't begin with white space is an id of its own, so nearly all are encoded joined.
+        alone = np.array([t[-1] in _WHITE for t in texts], bool)
+        fed = np.array([t[0] not in _WHITE for t in texts], bool) & ~alone
+        order = np.argsort(alone, kind="stable")
+        ids, ends = self._encode_units([f"\n{texts[i]}" if fed[i] else texts[i] for i in order.tolist()])
+        first, count = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        first[order], count[order] = [0, *ends[:-1]], np.diff([0, *ends])
+        return np.frombuffer(ids, "<u4"), first + fed, count - fed
+
+    def _numbered(self, pieces: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids that are known, and for each of ``pieces`` (all different) where its ids begin and how many they are."""
+        keys = pieces.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.ids.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = numbers < 0
+        if self.ids and len(self.ids) + missing.sum() > most:
+            self._forget_pieces()
+            missing[:] = True
+        known, long = self.known, pc.binary_length(pieces).to_numpy() > LONGEST
+        for new, keep in ((missing & ~long, True), (missing & long, False)):
+            at = np.flatnonzero(new)
+            if not len(at):
+                continue
+            todo, n = [keys[i] for i in at.tolist()], len(known[1])
+            ids, first, count = self._encode_pieces(todo)
+            known = tuple(np.concatenate(x) for x in zip(known, (ids, first + len(known[0]), count), strict=True))
+            numbers[at] = np.arange(n, n + len(at))
+            if keep:
+                self.ids.update(zip(todo, range(n, n + len(at)), strict=True))
+                self.known = known
+        if len(self.ids) > most:
+            self._forget_pieces()
+        return known[0], known[1][numbers], known[2][numbers]
 
-    def token_ids(self, texts: list[str], most: int = CACHE) -> list[np.ndarray]:
-        """Remembers ``most`` units, or those of ``texts`` where they are more."""
-        cut = lambda ids, ends: [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        got = self._each(texts, self.ids, cut, b"".join, lambda ids: np.array(ids, "<u4").tobytes(), {}, most)
-        return [np.frombuffer(x, "<u4") for x in got]
+    def token_ids(self, texts: list[str] | pa.Array, most: int = CACHE) -> list[np.ndarray]:
+        """The ids of each text; null is empty. Remembers ``most`` pieces at most."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), not self.by_unit)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        alone = np.flatnonzero(whole).tolist()
+        coded = iter(self.encode([texts[i].as_py() for i in alone]) if alone else ())
+        if alone:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if offsets[-1] > offsets[0]:
+            data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            offsets = offsets - offsets[0]
+            starts = piece_starts(data, offsets)
+            bounds = pa.py_buffer(np.append(starts, len(data)))
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+            known, first, count = self._numbered(pieces.dictionary, most)
+            which = pieces.indices.to_numpy()
+            count = count[which]
+            ends = np.concatenate([[0], np.cumsum(count)])
+            ids = known[np.repeat(first[which] - ends[:-1], count) + np.arange(ends[-1])]
+            to = ends[np.searchsorted(starts, offsets)].tolist()
+        else:
+            ids, to = np.empty(0, "<u4"), [0] * (len(texts) + 1)
+        out = [ids[a:b] for a, b in zip(to[:-1], to[1:], strict=True)]
+        for i in alone:
+            out[i] = np.array(next(coded), "<u4")
+        return out
 
     def token_counts(self, texts: list[str], frequent: dict[str, int] | None = None) -> list[int]:
         """``frequent`` (unit to count) always stays in the worker's cache, which learns the rest."""
-        return self._each(texts, self.lengths, lambda ids, ends: np.diff([0, *ends]).tolist(), sum, len, frequent or {}, CACHE)
+        units, leave = self._units(texts, self.lengths, frequent or {})
+        whole = iter(self.encode([t for t, u in zip(texts, units, strict=True) if u is None]) if None in units else ())
+        out = [len(next(whole)) if u is None else sum(map(self.lengths.__getitem__, u)) for u in units]
+        for x in leave:
+            del self.lengths[x]
+        return out
 
 
 @lru_cache(maxsize=4)

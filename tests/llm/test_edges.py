@@ -249,6 +249,50 @@ def test_units_encode_as_the_whole(spark):
     assert enc.token_counts(texts, {" the": 1}) == [len(ids(t)) for t in texts]
 
 
+def test_pieces_encode_as_the_whole():
+    """Ids by pieces are the library's, whatever characters meet; a piece is remembered once, whatever stands beside it."""
+    import random
+
+    import pyarrow as pa
+
+    from quernel.llm.tokens import Encoder, vocabulary
+
+    enc, ids = Encoder(vocabulary("byte_bpe_50k.json")), _ids()
+    enc.token_ids(["a word, (word) word7 word. it's", " word\n\nword"])
+    assert set(enc.ids) == {b"a", b" word", b",", b" (", b"word", b")", b"7", b".", b" it", b"'s", b"\n", b" word"}
+
+    rng = random.Random(7)
+    parts = [*"aZé×÷ÿñ²µ漢ñ7٣.,!?-_'’\x00\x1c\x7f \n\t\r\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\u0301😀", "\u1e80", "'s", "'ll", "'RE", " '", "  ", "\n\n", " \n", "word", "x" * 70, "<|endoftext|>"]
+    texts = [*parts, *(a + b + c for a in parts for b in parts for c in parts)]
+    texts += ["".join(rng.choices(parts[:-1], k=rng.randint(0, 30))) for _ in range(5000)]
+    rng.shuffle(texts)
+    want = [ids(t) for t in texts]
+    for most in (900_000, 50):
+        assert [x.tolist() for x in enc.token_ids(texts, most)] == want
+        assert len(enc.ids) <= most and all(len(k) <= 64 for k in enc.ids)
+    for a in range(0, 2000, 97):  # what is remembered from one call to the next, and forgotten
+        assert [x.tolist() for x in enc.token_ids(texts[a : a + 97], 300)] == want[a : a + 97]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array([None, *texts[:50], None, ""], kind)
+        assert [x.tolist() for x in enc.token_ids(column.slice(0, 40))] == [[], *want[:39]]
+        assert [x.tolist() for x in enc.token_ids(column.slice(40))] == [*want[39:50], [], []]
+    assert enc.token_ids([]) == [] and [len(x) for x in enc.token_ids(["", ""])] == [0, 0]
+
+
+def test_parts_of_a_batch(monkeypatch):
+    """Short texts are encoded together, long ones alone, none is left out."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "_BYTES", 10)
+    texts = ["abc", None, "", "abcd", "é" * 20, "x", "y" * 9, "z" * 10, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(9)), "text": texts})
+    parts = [p.column("id").to_pylist() for p in packing._parts(batch)]
+    assert sum(parts, []) == list(range(9)) and [0, 1, 2, 3] in parts
+    assert all(sum(len((texts[i] or "").encode()) for i in p[1:]) < 10 for p in parts)
+    assert [p.num_rows for p in packing._parts(batch.slice(0, 0))] == [0]
+    assert sum((p.column("id").to_pylist() for p in packing._parts(batch.slice(4, 2))), []) == [4, 5]
+
+
 def check_packing(rows, texts):
     ids = _ids()
     pieces = pd.DataFrame([r.asDict() for r in rows])
