@@ -39,7 +39,7 @@ STEP_TOKENS = 64 * 2048
 #: Tokens that a round gathers before it packs.
 ROUND = 1 << 21
 #: Bytes of texts that are encoded in one go, but for one text at least.
-_BYTES = 1 << 22
+_BYTES = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 _MADE = SCHEMA + ", nth long"
 
