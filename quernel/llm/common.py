@@ -34,6 +34,17 @@ def trim() -> None:
         give_back(0)
 
 
+def release_heap(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the heap that earlier work took, and no longer needs, back to the system.
+
+    One task for each executor, which the scheduler deals round them where they
+    are idle; one that is left out by chance only keeps its heap. What is
+    cached or broadcast stays.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)  # the driver is among them
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 #: Rows of a batch of whole texts. Spark's own 10,000 take tens of MB, which the executor and its Python worker each hold more than once.
 TEXT_ROWS = 1024
 

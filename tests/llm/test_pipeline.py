@@ -130,3 +130,21 @@ def test_near_copies_leave_what_follows(spark, tmp_path, monkeypatch):
     assert ids() == set(range(12))
     monkeypatch.setattr(P, "STAGES", [(n, (lambda s, docs, d: docs) if n == "simhash_dedup" else f) for n, f in P.STAGES])
     assert ids() == set(range(24))
+
+
+def test_stages_begin_on_a_heap_given_back(spark, sf, monkeypatch):
+    """What earlier work left on the heap is collected and returned to the system; each stage does so once, before anything else."""
+    docs, runtime = spark.read.parquet(f"{sf}/documents.parquet"), spark._jvm.java.lang.Runtime.getRuntime()
+    P.quality_rules(spark, docs, sf)
+    assert spark.range(1).select(F.length(F.expr("repeat('x', 1500000000 + int(id))"))).first()[0] == 1_500_000_000
+    grown = runtime.totalMemory()
+    P.quality_rules(spark, docs, sf)
+    assert runtime.totalMemory() < grown - 500_000_000
+
+    done = []
+    monkeypatch.setattr(P, "release_heap", lambda s: done.append("heap"))
+    for module, work in ((P.quality, "keep_good"), (P.line_dedup, "drop_lines"), (P.similar, "keep_first"), (P.mixing, "take_mix"), (P.packing, "pack_documents")):
+        monkeypatch.setattr(module, work, lambda docs, *a, work=work, **b: (done.append(work), docs)[1])
+    for _, stage in P.STAGES:
+        stage(spark, docs, sf)
+    assert done == ["heap", "keep_good", "heap", "drop_lines", "heap", "keep_first", "heap", "take_mix", "heap", "pack_documents"]
